@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickloom.functions.arrays import first_place
 from tickloom.functions.numeric import ieee_div
 from tickloom.operators.indicators import tmf_signal, tmf_signal_incl
 from tickloom.plans.steps import Step
@@ -33,12 +34,6 @@ def typical_price() -> Column:
     return (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
 
 
-def _first(path: Column, hit) -> Column:
-    """0-based place of the first element for which ``hit`` holds, else NULL."""
-    marks = F.transform(path, lambda x: F.when(hit(x), 1))
-    return F.nullif(F.array_position(marks, F.lit(1)), F.lit(0).cast("bigint")) - 1
-
-
 def first_hit_exit(rule: ExitRule = ExitRule()) -> Step:
     """Enter at the next bar's typical price; leave one bar after the first exit condition.
 
@@ -57,8 +52,8 @@ def first_hit_exit(rule: ExitRule = ExitRule()) -> Step:
             {"_path": F.when(F.size("_path") == bars, path)},
             {"entry_price": F.get(path, F.lit(0))["x"], "entry_date": F.get(path, F.lit(0))["d"]},
             {
-                "_gain_at": _first(path, lambda b: b["c"] / entry > rule.gain),
-                "_loss_at": _first(path, lambda b: b["c"] / entry < rule.loss),
+                "_gain_at": first_place(path, lambda b: b["c"] / entry > rule.gain),
+                "_loss_at": first_place(path, lambda b: b["c"] / entry < rule.loss),
             },
             {
                 "exit_point": F.when(
