@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -80,22 +82,28 @@ def history_lists(column: str, count: int, out: str) -> Step:
 
 
 def calendar_rolling(
-    bars: DataFrame, column: str, days: int, how, out: str,
-    key: str = "ticker", time: str = "date", block_days: int = 1024,
+    bars: DataFrame, frames: Mapping[str, tuple], key: str = "ticker", time: str = "date",
+    block_days: int = 1024,
 ) -> DataFrame:
-    """``how`` of ``column`` over the last ``days`` calendar days.
+    """Aggregates over the last calendar days; ``frames`` maps a name to (how, column, days).
 
     Blocks are runs of days here, so no bar numbers are needed: a bar goes into its own
-    run and, if it lies in the last days of that run, into the next one as well.
+    run and, if a later run looks back at it, into that one as well.
     """
+    longest = max(days for _, _, days in frames.values())
     day = F.unix_date(F.col(time)).cast("bigint")
     own = F.floor(day / block_days)
-    last = F.floor((day + days - 1) / block_days)
-    w = Window.partitionBy(key, "_run").orderBy("_day").rangeBetween(-(days - 1), 0)
+    last = F.floor((day + longest - 1) / block_days)
+    w = Window.partitionBy(key, "_run").orderBy("_day")
     return (
         bars.withColumn("_day", day)
         .withColumn("_run", F.explode(F.sequence(own, last)))
-        .withColumn(out, how(column).over(w))
+        .withColumns(
+            {
+                out: how(column).over(w.rangeBetween(-(days - 1), 0))
+                for out, (how, column, days) in frames.items()
+            }
+        )
         .where(F.floor(F.col("_day") / block_days) == F.col("_run"))
         .drop("_day", "_run")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tickloom.functions.numeric import idiv
 
+DAY_NS = 86_400_000_000_000
+
 # The columns of a stored bar file. Dates are nanoseconds since 1970.
 BAR_FILE_SCHEMA = T.StructType(
     [
@@ -28,8 +30,13 @@ BAR_FILE_SCHEMA = T.StructType(
 
 
 def ns_to_date(ns: Column) -> Column:
-    """Nanoseconds since 1970 to a date; does not depend on the session time zone if that is UTC."""
-    return F.timestamp_micros(idiv(ns, 1000)).cast("date")
+    """Nanoseconds since 1970 to a date; whole-number arithmetic, so no time zone comes in."""
+    into_day = F.pmod(ns, F.lit(DAY_NS).cast("bigint"))
+    return F.date_from_unix_date(idiv(ns - into_day, DAY_NS).cast("int"))
+
+
+def date_to_ns(date: Column) -> Column:
+    return F.unix_date(date).cast("bigint") * F.lit(DAY_NS).cast("bigint")
 
 
 def scan_bars(

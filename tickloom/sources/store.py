@@ -24,6 +24,11 @@ def scratch(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, *parts)
 
 
+def tag(source: str) -> str:
+    """A short name for an input folder."""
+    return f"{zlib.crc32(source.encode()):08x}"
+
+
 def layer(
     spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -31,7 +36,7 @@ def layer(
 
     Cuts the lineage between layers, and survives the loss of executors.
     """
-    path = scratch(spark, "layers", f"{name}-{zlib.crc32(source.encode()):08x}")
+    path = scratch(spark, "layers", f"{name}-{tag(source)}")
     key = (spark.sparkContext.applicationId, path)
     if key not in _WRITTEN:
         built = build()
