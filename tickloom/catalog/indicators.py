@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
 from tickloom.catalog.registry import query
-from tickloom.catalog.sql import UP_TO_NOW, ewm, last_rows, r, rs, rsi, sql, truncated
+from tickloom.catalog.sql import UP_TO_NOW, ewm, fixed, last_rows, r, rs, rsi, sql, truncated
 from tickloom.operators import indicators as ind
 from tickloom.operators import series
 from tickloom.plans.steps import Step
@@ -17,13 +17,13 @@ from tickloom.plans.steps import Step
 
 def indicator(
     name: str, body: str, base: str, steps: Callable[[], Sequence[Step]], *,
-    exact: tuple[str, ...] = (), rounded: tuple[str, ...] = (), digits: int = 6,
+    exact: tuple[str, ...] = (), rounded: tuple[str, ...] = (), gaps: tuple[str, ...] = (),
 ) -> None:
     """Register a query that adds ``steps`` to the bars and compares the named columns."""
 
     @query(name, sql(body, base))
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return v.by_bar(v.on_bars(spark, folder, *steps()), *exact, rounded=rounded, digits=digits)
+        return v.by_bar(v.on_bars(spark, folder, *steps()), *exact, rounded=rounded, gaps=gaps)
 
 
 def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, step: Callable[[], Step]) -> None:
@@ -34,8 +34,8 @@ def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, st
     """
     off_pole = f"abs(1 + {gain} / {loss}) > 1e-9 OR {loss} = 0"
     body = f"""
-        SELECT ticker, date, {rs(gain, loss, digits=9)},
-               {r(f'CASE WHEN {off_pole} THEN {name} END', 3)} AS {name} FROM (
+        SELECT ticker, date, {rs(gain, loss)},
+               {r(f'CASE WHEN {off_pole} THEN {name} END')} AS {name} FROM (
           SELECT *, {rsi(gain, loss)} AS {name} FROM (
           SELECT *, {gain_sql} AS {gain}, {loss_sql} AS {loss} FROM chg))
     """
@@ -45,28 +45,28 @@ def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, st
         out = v.on_bars(spark, folder, step())
         up, down = F.col(gain), F.col(loss)
         near = F.coalesce(F.abs(1 + F.try_divide(up, down)) <= 1e-9, F.lit(False))
-        shown = F.when(~near, F.round(name, 3)).alias(name)
-        return out.select("ticker", "date", v.r(gain, 9), v.r(loss, 9), shown)
+        shown = F.when(~near, v.single(F.col(name))).alias(name)
+        return out.select("ticker", "date", v.r(gain), v.r(loss), shown)
 
 
 # ---- trend ---------------------------------------------------------------------------------
 
 indicator(
-    "macd", f"SELECT ticker, date, {r('(' + ewm('close', 11) + ') - (' + ewm('close', 25) + ')')} AS macd FROM idx",
-    "idx", lambda: [ind.macd()], rounded=("macd",),
+    "macd", f"SELECT ticker, date, {fixed('(' + ewm('close', 11) + ') - (' + ewm('close', 25) + ')')} AS macd FROM idx",
+    "idx", lambda: [ind.macd()], gaps=("macd",),
 )
 MACD_STD = f"({truncated('close', 12, 'standard')}) - ({truncated('close', 26, 'standard')})"
 indicator(
-    "macd_standard", f"SELECT ticker, date, {r(MACD_STD)} AS macd_standard FROM idx",
-    "idx", lambda: [ind.macd_standard()], rounded=("macd_standard",),
+    "macd_standard", f"SELECT ticker, date, {fixed(MACD_STD)} AS macd_standard FROM idx",
+    "idx", lambda: [ind.macd_standard()], gaps=("macd_standard",),
 )
 indicator(
     "macd_signal",
     f"""
-    SELECT ticker, date, {r(truncated('m', 9, 'standard'))} AS macd_signal
+    SELECT ticker, date, {fixed(truncated('m', 9, 'standard'))} AS macd_signal
     FROM (SELECT *, {MACD_STD} AS m FROM idx)
     """,
-    "idx", lambda: [ind.macd_signal()], rounded=("macd_signal",),
+    "idx", lambda: [ind.macd_signal()], gaps=("macd_signal",),
 )
 
 # ---- strength --------------------------------------------------------------------------------
@@ -200,7 +200,7 @@ indicator(
 
 
 def gap_sql(x: str) -> str:
-    return r(f"{x} - quantile_cont({x}, 0.5) {last_rows(130)}")
+    return fixed(f"{x} - quantile_cont({x}, 0.5) {last_rows(130)}")
 
 
 indicator(
@@ -214,5 +214,5 @@ indicator(
         ind.percentile_gap("tmf_w", 130, "tmf_gap", (ind.tmf(),)),
         ind.percentile_gap("macd", 130, "macd_gap", (ind.macd(),)),
     ],
-    rounded=("tmf_gap", "macd_gap"),
+    gaps=("tmf_gap", "macd_gap"),
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
 from tickloom.catalog.registry import query
-from tickloom.catalog.sql import EXITS, OVER, ewm, last_rows, r, rs, rsi, sql, view
+from tickloom.catalog.sql import EXITS, OVER, ewm, fixed, last_rows, r, rs, rsi, sql, view
 from tickloom.operators import indicators as ind
 from tickloom.operators import strategy as st
 from tickloom.operators import trades as tr
@@ -78,7 +78,7 @@ def stream_sliding_min(spark: SparkSession, folder: str) -> DataFrame:
     "stream_ewm",
     sql(
         f"""
-        SELECT ticker, date, {rs('ema_close', 'tmf_w')}, {r(rsi('g', 'l'), 3)} AS rsi_ewm FROM (
+        SELECT ticker, date, {rs('ema_close', 'tmf_w')}, {r(rsi('g', 'l'))} AS rsi_ewm FROM (
           SELECT *, {ewm('close', 13)} AS ema_close, {ewm('chg_gain', 13)} AS g, {ewm('chg_loss', 13)} AS l FROM (
           SELECT *, CASE WHEN close / open - 1 > 0 THEN close / open - 1 ELSE 0 END AS chg_gain,
                     CASE WHEN close / open - 1 <= 0 THEN close / open - 1 ELSE 0 END AS chg_loss FROM tmf))
@@ -88,7 +88,7 @@ def stream_sliding_min(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_ewm(spark: SparkSession, folder: str) -> DataFrame:
     out = stored(spark, si.ewm_stream(bar_stream(spark, folder)), "ewm")
-    return out.select("ticker", "date", v.r("ema_close"), v.r("tmf_w"), v.r("rsi_ewm", 3))
+    return out.select("ticker", "date", v.r("ema_close"), v.r("tmf_w"), v.r("rsi_ewm"))
 
 
 @query(
@@ -107,7 +107,7 @@ def stream_signal(spark: SparkSession, folder: str) -> DataFrame:
     "indicator_dedup",
     sql(
         f"""
-        SELECT ticker, date, {r('m')} AS macd, {r('m')} AS macd_again, {r('d')} AS macd_change FROM (
+        SELECT ticker, date, {fixed('m')} AS macd, {fixed('m')} AS macd_again, {fixed('d')} AS macd_change FROM (
           SELECT *, m - lag(m) {OVER} AS d FROM (
           SELECT *, ({ewm('close', 11)}) - ({ewm('close', 25)}) AS m FROM idx))
         """,
@@ -128,7 +128,7 @@ def indicator_dedup(spark: SparkSession, folder: str) -> DataFrame:
     moved = test.add_indicator(st.change, [first])
     out = test.frame([first, second, moved])
     names = {"macd": first, "macd_again": second, "macd_change": moved}
-    return out.select("ticker", "date", *[F.round(F.col(u), 6).alias(n) for n, u in names.items()])
+    return out.select("ticker", "date", *[v.fixed(F.col(u)).alias(n) for n, u in names.items()])
 
 
 STRENGTH = "CASE WHEN signal = 1 THEN abs(lag(tmf_26w_min_dd) {0}) / abs(tmf_26w_min_dd_qtl_50) END"
@@ -138,7 +138,7 @@ STRENGTH = "CASE WHEN signal = 1 THEN abs(lag(tmf_26w_min_dd) {0}) / abs(tmf_26w
     "signal_strength",
     sql(
         f"""
-        SELECT ticker, date, {rs('strength', digits=4)} FROM (
+        SELECT ticker, date, {rs('strength')} FROM (
           SELECT *, {STRENGTH.format(OVER)} AS strength FROM
           (SELECT m.*, s.signal FROM medians m JOIN sig s USING (ticker, bar_index))) WHERE signal = 1
         """,
@@ -147,14 +147,14 @@ STRENGTH = "CASE WHEN signal = 1 THEN abs(lag(tmf_26w_min_dd) {0}) / abs(tmf_26w
 )
 def signal_strength(spark: SparkSession, folder: str) -> DataFrame:
     out = compute(v.bars(spark, folder), ind.tmf_floor_medians(), tr.signal_strength())
-    return v.by_bar(out.where(F.col("signal") == 1), rounded=("strength",), digits=4)
+    return v.by_bar(out.where(F.col("signal") == 1), rounded=("strength",))
 
 
 @query(
     "allocation",
     sql(
         f"""
-        SELECT ticker, date, {r('strength / sum(strength) OVER (PARTITION BY date)', 4)} AS allocation FROM (
+        SELECT ticker, date, {r('strength / sum(strength) OVER (PARTITION BY date)')} AS allocation FROM (
           SELECT *, {STRENGTH.format(OVER)} AS strength FROM
           (SELECT m.*, s.signal FROM medians m JOIN sig s USING (ticker, bar_index))) WHERE signal = 1
         """,
@@ -164,7 +164,7 @@ def signal_strength(spark: SparkSession, folder: str) -> DataFrame:
 def allocation(spark: SparkSession, folder: str) -> DataFrame:
     out = compute(v.bars(spark, folder), ind.tmf_floor_medians(), tr.signal_strength())
     signals = out.where(F.col("signal") == 1).select("ticker", "date", "strength")
-    return v.by_bar(st.allocate(signals, st.share_of_strength), rounded=("allocation",), digits=4)
+    return v.by_bar(st.allocate(signals, st.share_of_strength), rounded=("allocation",))
 
 
 def smoothed_flow_test(bars: DataFrame) -> st.Backtest:

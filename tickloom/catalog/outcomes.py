@@ -106,7 +106,7 @@ def lagged_win_count_incl(spark: SparkSession, folder: str) -> DataFrame:
     "funding_cost",
     sql(
         f"""
-        SELECT ticker, date, CAST(days AS BIGINT) AS days, {r('factor', 9)} AS factor,
+        SELECT ticker, date, CAST(days AS BIGINT) AS days, {r('factor')} AS factor,
                {r('exit_gain_loss - (factor - 1)')} AS funded_ratio
         FROM (SELECT *, pow(1 + 0.05 / 365::DOUBLE, days) AS factor
               FROM (SELECT *, date_diff('day', entry_date, exit_date) AS days FROM trades))
@@ -118,8 +118,8 @@ def funding_cost(spark: SparkSession, folder: str) -> DataFrame:
     days = F.datediff("exit_date", "entry_date").cast("bigint")
     trades = v.trades(spark, folder).withColumns({"days": days, "factor": tr.funding_factor(F.col("days"))})
     return trades.select(
-        "ticker", "date", "days", v.r("factor", 9),
-        F.round(F.col("exit_gain_loss") - (F.col("factor") - 1), 6).alias("funded_ratio"),
+        "ticker", "date", "days", v.r("factor"),
+        v.single(F.col("exit_gain_loss") - (F.col("factor") - 1)).alias("funded_ratio"),
     )
 
 
@@ -386,7 +386,7 @@ def yearly_consistency(spark: SparkSession, folder: str) -> DataFrame:
     "rank_by_product",
     sql(
         f"""
-        SELECT ticker, trade_count, {rs('product')}, dense_rank() OVER (ORDER BY round(product, 9) DESC) AS drnk FROM (
+        SELECT ticker, trade_count, {rs('product')}, dense_rank() OVER (ORDER BY product DESC) AS drnk FROM (
           SELECT ticker, count(*) AS trade_count, product(exit_gain_loss) AS product FROM trades
           WHERE exit_gain_loss IS NOT NULL GROUP BY 1)
         """,

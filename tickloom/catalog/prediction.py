@@ -76,17 +76,17 @@ def confusion_at(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def errors_sql(units: dict[str, str]) -> str:
-    return "SELECT " + ", ".join(f"{r(x, 9)} AS {n}" for n, x in units.items()) + " FROM preds"
+    return "SELECT " + ", ".join(f"{r(x)} AS {n}" for n, x in units.items()) + " FROM preds"
 
 
 @query("mae_mse", sql(errors_sql(ERRORS), "preds"))
 def mae_mse(spark: SparkSession, folder: str) -> DataFrame:
-    return met.mae_mse(v.predictions(spark, folder)).select(*[v.r(n, 9) for n in ERRORS])
+    return met.mae_mse(v.predictions(spark, folder)).select(*[v.r(n) for n in ERRORS])
 
 
 @query("deviances", sql(errors_sql(DEVIANCES), "preds"))
 def deviances(spark: SparkSession, folder: str) -> DataFrame:
-    return met.deviances(v.predictions(spark, folder)).select(*[v.r(n, 9) for n in DEVIANCES])
+    return met.deviances(v.predictions(spark, folder)).select(*[v.r(n) for n in DEVIANCES])
 
 
 GRID = " UNION ALL ".join(
@@ -146,11 +146,11 @@ def yearly_return(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "feature_table",
-    sql(f"SELECT ticker, date, {rs(*feat.FEATURES, 'exit_gain_loss', 'target', digits=5)} FROM features", "features"),
+    sql(f"SELECT ticker, date, {rs(*feat.FEATURES, 'exit_gain_loss', 'target')} FROM features", "features"),
 )
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(
-        v.features(spark, folder), rounded=(*feat.FEATURES, "exit_gain_loss", "target"), digits=5
+        v.features(spark, folder), rounded=(*feat.FEATURES, "exit_gain_loss", "target")
     )
 
 

@@ -99,15 +99,15 @@ FALL = "CASE WHEN chg < 0 THEN chg END"
     "rolling_median_linear",
     sql(
         f"""
-        SELECT ticker, date, {r(f'quantile_cont({FALL}, 0.5) {last_rows(20)}', 9)} AS median_20,
-               {r(f'quantile_cont({FALL}, 0.5) {last_rows(130)}', 9)} AS median_130 FROM chg
+        SELECT ticker, date, {r(f'quantile_cont({FALL}, 0.5) {last_rows(20)}')} AS median_20,
+               {r(f'quantile_cont({FALL}, 0.5) {last_rows(130)}')} AS median_130 FROM chg
         """,
         "chg",
     ),
 )
 def rolling_median_linear(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, falls_median(20, "linear"), falls_median(130, "linear"))
-    return v.by_bar(out, rounded=("median_20", "median_130"), digits=9)
+    return v.by_bar(out, rounded=("median_20", "median_130"))
 
 
 def falls_median(count: int, kind: str) -> Step:
@@ -148,11 +148,11 @@ def rolling_median_approx(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "yearly_capital",
-    sql(f"SELECT ticker, date, {rs('yearly_cap_xchngd', digits=4)} FROM caps", "caps"),
+    sql(f"SELECT ticker, date, {rs('yearly_cap_xchngd')} FROM caps", "caps"),
 )
 def yearly_capital(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, ind.yearly_capital())
-    return v.by_bar(out, rounded=("yearly_cap_xchngd",), digits=4)
+    return v.by_bar(out, rounded=("yearly_cap_xchngd",))
 
 
 @query("rolling_stddev", sql(f"SELECT ticker, date, {rs('std_vol', 'std_cap')} FROM caps", "caps"))
@@ -202,8 +202,8 @@ def running_volume(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "expanding_list",
     sql(
-        """
-        SELECT ticker, date, len(l) AS size, round(list_sum(l), 6) AS total, l[1] AS first_close, l[-1] AS last_close
+        f"""
+        SELECT ticker, date, len(l) AS size, {r('list_sum(l)')} AS total, l[1] AS first_close, l[-1] AS last_close
         FROM (SELECT ticker, date, list(close) OVER (PARTITION BY ticker, year(date), month(date) ORDER BY date) AS l FROM bars)
         """,
         "bars",
@@ -215,7 +215,7 @@ def expanding_list(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "ticker", "date",
         F.size("closes").cast("bigint").alias("size"),
-        F.round(arr.fold(F.col("closes")), 6).alias("total"),
+        v.single(arr.fold(F.col("closes"))).alias("total"),
         F.get("closes", F.lit(0)).alias("first_close"),
         F.element_at("closes", -1).alias("last_close"),
     )

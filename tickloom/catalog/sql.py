@@ -26,12 +26,22 @@ OVER = f"OVER ({W})"
 UP_TO_NOW = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def r(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+def r(x: str) -> str:
+    """A computed value in single precision, so that the order of a sum does not show.
+
+    Rounding to decimals would not do: means of decimal prices often lie exactly between
+    two of them. Ten decimals first, so that what is zero but for rounding becomes zero.
+    """
+    return f"CAST(CAST(round({x}, 10) AS FLOAT) AS DOUBLE) + 0.0"
+
+
+def rs(*names: str) -> str:
+    return ", ".join(f"{r(n)} AS {n}" for n in names)
 
 
-def rs(*names: str, digits: int = 6) -> str:
-    return ", ".join(f"{r(n, digits)} AS {n}" for n in names)
+def fixed(x: str) -> str:
+    """A difference of close values, to six decimals: its leading digits have cancelled."""
+    return f"round({x}, 6) + 0.0"
 
 
 def ewm(x: str, com: float) -> str:

@@ -188,20 +188,20 @@ COMPLETE = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in [*feat.FE
 
 @query(
     "dropna_features",
-    sql(f"SELECT ticker, date, {rs(*feat.FEATURES, 'target', digits=5)} FROM features WHERE {COMPLETE}", "features"),
+    sql(f"SELECT ticker, date, {rs(*feat.FEATURES, 'target')} FROM features WHERE {COMPLETE}", "features"),
 )
 def dropna_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = feat.complete(v.features(spark, folder))
-    return v.by_bar(rows, rounded=(*feat.FEATURES, "target"), digits=5)
+    return v.by_bar(rows, rounded=(*feat.FEATURES, "target"))
 
 
 @query(
     "feature_target",
-    sql(f"SELECT {rs(*feat.FEATURES, 'target', digits=5)} FROM features", "features"),
+    sql(f"SELECT {rs(*feat.FEATURES, 'target')} FROM features", "features"),
 )
 def feature_target(spark: SparkSession, folder: str) -> DataFrame:
     rows = v.features(spark, folder).drop("ticker", "date", "exit_gain_loss")
-    return rows.select(*[v.r(c, 5) for c in (*feat.FEATURES, "target")])
+    return rows.select(*[v.r(c) for c in (*feat.FEATURES, "target")])
 
 
 @query(
@@ -268,7 +268,7 @@ def unpivot_series(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, rolling("close", 12, F.avg, "ma_fast"), rolling("close", 26, F.avg, "ma_slow")
     )
     long = reports.unpivot(out, ["ticker", "date"], ["close", "ma_fast", "ma_slow"])
-    return long.withColumn("value", F.round("value", 6))
+    return long.withColumn("value", v.single(F.col("value")))
 
 
 # ---- sorting and limiting ----------------------------------------------------------------------

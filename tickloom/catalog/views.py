@@ -66,10 +66,23 @@ def on_bars(spark: SparkSession, folder: str, *steps: Step) -> DataFrame:
     return compute(bars(spark, folder), *steps)
 
 
-def r(name: str, digits: int = 6) -> Column:
-    return F.round(F.col(name), digits).alias(name)
+def single(value: Column) -> Column:
+    """A computed value in single precision, as the comparison SQL gives it."""
+    return F.round(value, 10).cast("float").cast("double")
 
 
-def by_bar(df: DataFrame, *exact: str, rounded: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
-    """(ticker, date) and the wanted columns; results of sums are rounded for comparison."""
-    return df.select("ticker", "date", *exact, *[r(c, digits) for c in rounded])
+def r(name: str) -> Column:
+    return single(F.col(name)).alias(name)
+
+
+def fixed(value: Column) -> Column:
+    """A difference of close values, to six decimals."""
+    return F.round(value, 6)
+
+
+def by_bar(
+    df: DataFrame, *exact: str, rounded: tuple[str, ...] = (), gaps: tuple[str, ...] = ()
+) -> DataFrame:
+    """(ticker, date) and the wanted columns; sums in single precision, ``gaps`` to six decimals."""
+    small = [fixed(F.col(c)).alias(c) for c in gaps]
+    return df.select("ticker", "date", *exact, *[r(c) for c in rounded], *small)
