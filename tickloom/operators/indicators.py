@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import smoothing as sm
 from tickloom.functions.numeric import ieee_div, nan_to
+from tickloom.functions.sliding import sliding, spread_samp, total
 from tickloom.operators.windows import (
     YEAR_FRAME,
     full_window,
@@ -496,11 +497,14 @@ def yearly_capital() -> Step:
         "yearly_capital",
         lambda w: [
             {"log_vol": log_volume, "log_cap": log_cap},
-            {
-                "yearly_cap_xchngd": F.sum("cap_xchgd_approx").over(rows(w, YEAR_FRAME)),
-                "std_vol": F.stddev_samp("log_vol").over(rows(w, YEAR_FRAME)),
-                "std_cap": F.stddev_samp("log_cap").over(rows(w, YEAR_FRAME)),
-            },
+            *sliding(
+                {
+                    "yearly_cap_xchngd": total(F.col("cap_xchgd_approx")),
+                    "std_vol": spread_samp(F.col("log_vol")),
+                    "std_cap": spread_samp(F.col("log_cap")),
+                },
+                YEAR_FRAME, w, "year",
+            ),
         ],
         (capital_traded(),),
         back=YEAR_FRAME - 1,

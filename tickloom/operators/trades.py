@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.arrays import first_place
 from tickloom.functions.numeric import ieee_div
+from tickloom.functions.sliding import counted
 from tickloom.operators.indicators import tmf_signal, tmf_signal_incl
 from tickloom.plans.steps import Step
 
@@ -129,18 +130,17 @@ def past_success(
     needs: tuple[Step, ...],
 ) -> Step:
     """Won and lost signals among the bars ``first`` .. ``last`` before the current one."""
-    won = F.when((F.col(ratio) > threshold) & (F.col(signal) == 1), 1)
-    lost = F.when((F.col(ratio) <= threshold) & (F.col(signal) == 1), 1)
+    won = (F.col(ratio) > threshold) & (F.col(signal) == 1)
+    lost = (F.col(ratio) <= threshold) & (F.col(signal) == 1)
     success, fail = f"previous_exit_success{tag}", f"previous_exit_fail{tag}"
 
     def pieces(w):
-        frame = w.rowsBetween(-first, -last)
         return [
-            {success: F.count(won).over(frame), fail: F.count(lost).over(frame)},
+            *counted({success: won, fail: lost}, first, last, w, "past"),
             {f"previous_exit_result_ratio{tag}": F.col(success) / (F.col(fail) + 1)},
         ]
 
-    return Step(f"past_success:{ratio}:{threshold}:{first}:{last}:{tag}", pieces, needs, back=first)
+    return Step(f"past_success:{ratio}:{threshold}:{first}:{last}:{tag}", pieces, needs, back=first + 1)
 
 
 def lagged_wins(rule: ExitRule = ExitRule()) -> Step:

@@ -71,7 +71,10 @@ def compute(
         for layer in step.layers(window):
             out = out.withColumns(dict(layer))
     out = settle(out)
-    return out.select(*select) if select is not None else out
+    if select is not None:
+        return out.select(*select)
+    # Columns of work steps go, so that no exchange or window carries them along.
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def identity(columns: Iterable[str], function: str, params: Mapping[str, object]) -> str:
