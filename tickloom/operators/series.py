@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,18 +84,18 @@ def _named(side: str, pieces: dict) -> dict:
     return {f"{side}_{p}": pieces[p] for p in _PIECES}
 
 
-def _band_inputs(pdf: pd.DataFrame) -> tuple[list[float], list[float], list[float], list[float]]:
+def _band_inputs(columns: dict) -> tuple[list[float], list[float], list[float], list[float]]:
     """Closes before and basic bands; the first bar of a series always takes its basic band."""
-    before = pdf["prev_close"].where(pdf[POSITION] > 1, float("inf"))
-    below = pdf["prev_close"].where(pdf[POSITION] > 1, float("-inf"))
-    return (
-        before.tolist(), pdf["_basic_up"].tolist(),
-        (-below).tolist(), (-pdf["_basic_lo"]).tolist(),
-    )
+    first = columns[POSITION][0] == 1
+    before = columns["prev_close"]
+    above, below = list(before), [-c if c is not None else c for c in before]
+    if first:
+        above[0] = below[0] = float("inf")
+    return above, columns["_basic_up"], below, [-b for b in columns["_basic_lo"]]
 
 
-def _bands_summary(pdf: pd.DataFrame) -> dict:
-    floor_up, basic_up, floor_lo, basic_lo = _band_inputs(pdf)
+def _bands_summary(columns: dict) -> dict:
+    floor_up, basic_up, floor_lo, basic_lo = _band_inputs(columns)
     return {
         **_named("up", _band_pieces(floor_up, basic_up)),
         **_named("lo", _band_pieces(floor_lo, basic_lo)),
@@ -117,31 +116,18 @@ def _bands_enter(summary: dict, state: dict) -> dict:
     }
 
 
-def _bands_run(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-    up, lo = state["up"], state["lo"]
-    floor_up, basic_up, floor_lo, basic_lo = _band_inputs(pdf)
-    closes, places = pdf["close"].tolist(), pdf[POSITION].tolist()
+def _bands_run(columns: dict, state: dict) -> dict:
+    up, low = state["up"], -state["lo"]
     upper, lower, crossed = [], [], []
-    for i, close in enumerate(closes):
-        if places[i] == 1:
-            crossed.append(None)
-        else:
-            crossed.append(1 if close > up else -1 if close < lo else None)
-        up = _keep(up, floor_up[i], basic_up[i])
-        lo = -_keep(-lo, floor_lo[i], basic_lo[i])
+    steps = zip(columns["close"], columns[POSITION], *_band_inputs(columns))
+    for close, place, floor_up, basic_up, floor_lo, basic_lo in steps:
+        crossed.append(0 if place == 1 else 1 if close > up else -1 if -close > low else 0)
+        up = _keep(up, floor_up, basic_up)
+        low = _keep(low, floor_lo, basic_lo)
         upper.append(up)
-        lower.append(lo)
-    return pd.DataFrame(
-        {
-            "ticker": pdf["ticker"].values,
-            "date": pdf["date"].values,
-            POSITION: pdf[POSITION].values,
-            "close": closes,
-            "upperband": upper,
-            "lowerband": lower,
-            "_crossed": pd.array(crossed, dtype="Int32"),
-        }
-    )
+        lower.append(-low)
+    out = {n: columns[n] for n in ("ticker", "date", POSITION, "close")}
+    return {**out, "upperband": upper, "lowerband": lower, "_crossed": crossed}
 
 
 def supertrend_recursive(
@@ -160,6 +146,7 @@ def supertrend_recursive(
     key = with_atr.schema["ticker"].dataType.simpleString()
     machine = Machine(
         start={"up": 0.0, "lo": 0.0},
+        inputs=["date", "close", "prev_close", "_basic_up", "_basic_lo"],
         state_schema="up double, lo double",
         summary_schema=", ".join(f"{s}_{p} array<double>" for s in _SIDES for p in _PIECES),
         output_schema=(
@@ -173,7 +160,7 @@ def supertrend_recursive(
     )
     use_checkpoints(with_atr.sparkSession)
     bands = follow(rows, machine, block=block, group=group).checkpoint()
-    last = F.when(F.col("_crossed").isNotNull(), F.struct(POSITION, "_crossed"))
+    last = F.when(F.col("_crossed") != 0, F.struct(POSITION, "_crossed"))
     return (
         running(bands, last, "_last", MAX, block=block)
         .withColumn("direction", F.coalesce(F.col("_last")["_crossed"], F.lit(1)))
@@ -201,9 +188,9 @@ def nonoverlapping(
                 free = end
         return free
 
-    def summarise(pdf: pd.DataFrame) -> dict:
-        first = int(pdf["_b"].iloc[0]) * block + 1
-        bars, exits = pdf[POSITION].tolist(), pdf["exit_bar"].tolist()
+    def summarise(columns: dict) -> dict:
+        first = int(columns["_b"][0]) * block + 1
+        bars, exits = columns[POSITION], columns["exit_bar"]
         return {
             "first": first,
             "free": [free_after(bars, exits, first + k) for k in range(longest + 1)],
@@ -219,24 +206,17 @@ def nonoverlapping(
             "free": [enter(second, {"free_at": f})["free_at"] for f in first["free"]],
         }
 
-    def run(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
+    def run(columns: dict, state: dict) -> dict:
         free, taken = int(state["free_at"]), []
-        for bar, end in zip(pdf[POSITION].tolist(), pdf["exit_bar"].tolist()):
-            take = bar >= free
-            taken.append(take)
-            if take:
+        for bar, end in zip(columns[POSITION], columns["exit_bar"]):
+            taken.append(bar >= free)
+            if bar >= free:
                 free = end
-        return pd.DataFrame(
-            {
-                "ticker": pdf["ticker"].values,
-                POSITION: pdf[POSITION].values,
-                "exit_bar": pdf["exit_bar"].values,
-                "taken": taken,
-            }
-        )
+        return {**{n: columns[n] for n in ("ticker", POSITION, "exit_bar")}, "taken": taken}
 
     machine = Machine(
         start={"free_at": 0},
+        inputs=["exit_bar"],
         state_schema="free_at bigint",
         summary_schema="first bigint, free array<bigint>",
         output_schema=f"ticker {key}, {POSITION} bigint, exit_bar bigint, taken boolean",

@@ -6,10 +6,11 @@ along, and finish every block with what was carried into it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,23 +137,68 @@ def number_rows(df: DataFrame, order: Column, bucket: Column, out: str) -> DataF
 # ---- state that only a loop can follow -----------------------------------------------
 
 
+Columns = dict[str, list]
+
+
 @dataclass(frozen=True)
 class Machine:
     """A loop over the rows of a series whose state is passed from block to block.
 
     ``summarise`` describes a block as a function of the state it is entered with,
     ``compose`` chains two such descriptions, ``enter`` applies one to a state, and
-    ``run`` gives the output rows of a block for a known state.
+    ``run`` gives the output columns of a block for a known state. Blocks come as
+    columns in time order, ``inputs`` and the position among them.
     """
 
     start: dict
+    inputs: Sequence[str]
     state_schema: str
     summary_schema: str
     output_schema: str
-    summarise: Callable[[pd.DataFrame], dict]
+    summarise: Callable[[Columns], dict]
     compose: Callable[[dict, dict], dict]
     enter: Callable[[dict, dict], dict]
-    run: Callable[[pd.DataFrame, dict], pd.DataFrame]
+    run: Callable[[Columns, dict], Columns]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _blocks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[Columns]:
+    """The blocks in a sorted partition, each put together from the batches it spans."""
+    held: Columns | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys, blocks = batch[key].to_numpy(), batch["_b"].to_numpy()
+        turns = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        columns = {name: batch[name].tolist() for name in batch.columns}
+        edges = [0, *turns.tolist(), len(batch)]
+        for low, high in zip(edges, edges[1:]):
+            part = {name: values[low:high] for name, values in columns.items()}
+            if held and held[key][0] == part[key][0] and held["_b"][0] == part["_b"][0]:
+                for name, values in part.items():
+                    held[name] += values
+                continue
+            if held:
+                yield held
+            held = part
+    if held:
+        yield held
+
+
+def _framed(found: Iterator[Columns], rows_at_once: int = 10000) -> Iterator[pd.DataFrame]:
+    """Output columns of many blocks, put into frames of a fair size."""
+    out: Columns = {}
+    for columns in found:
+        for name, values in columns.items():
+            out.setdefault(name, []).extend(values)
+        if len(next(iter(out.values()))) >= rows_at_once:
+            yield pd.DataFrame(out)
+            out = {}
+    if out:
+        yield pd.DataFrame(out)
 
 
 def follow(
@@ -162,19 +208,36 @@ def follow(
     """Run a machine over every series, block by block in parallel.
 
     Blocks are summarised, then chained in groups, and the groups along the series; a
-    task sees one block, one group of summaries, or the group summaries of one key.
+    task holds one block, one group of summaries, or the group summaries of one key.
     The last block of a series needs no summary.
     """
     key_type = rows.schema[key].dataType.simpleString()
-    cut = rows.withColumn("_b", idiv(F.col(position) - 1, block))
+    names = list(dict.fromkeys([key, position, *machine.inputs]))
+    cut = rows.select(*names).withColumn("_b", idiv(F.col(position) - 1, block))
     ends = cut.groupBy(key).agg(F.max("_b").alias("_end"))
     inner = cut.join(ends, key).where(F.col("_b") < F.col("_end")).drop("_end")
     start, enter, compose = machine.start, machine.enter, machine.compose
-    described = [f.split()[0] for f in machine.summary_schema.split(", ")]
+    described = _names(machine.summary_schema)
+
+    def laid_out(df: DataFrame) -> DataFrame:
+        return df.repartition(key, "_b").sortWithinPartitions(key, "_b", position)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[Columns]:
+            for columns in _blocks(batches, key):
+                one = {key: columns[key][0], "_b": columns["_b"][0], **machine.summarise(columns)}
+                yield {name: [value] for name, value in one.items()}
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = machine.summarise(pdf.sort_values(position))
-        return pd.DataFrame([{key: pdf[key].iloc[0], "_b": pdf["_b"].iloc[0], **one}])
+        return _framed(found())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[Columns]:
+            for columns in _blocks(batches, key):
+                state = {n: v if columns["_entered"][0] else start[n] for n, v in
+                         ((n, columns[f"_in_{n}"][0]) for n in start)}
+                yield machine.run(columns, state)
+
+        return _framed(found())
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = pdf.sort_values("_b").to_dict("records")
@@ -193,16 +256,12 @@ def follow(
         return entries(pdf, "_g", start)
 
     def entries_of_blocks(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[key, "_b", *start])
         state = given.to_dict("records")[0] if len(given) else start
-        state = {name: state[name] for name in start}
-        found = entries(pdf, "_b", state)
-        return found[[key, "_b", *start]]
-
-    def run(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        state = given.to_dict("records")[0] if len(given) else start
-        return machine.run(pdf.sort_values(position), {name: state[name] for name in start})
+        return entries(pdf, "_b", {name: state[name] for name in start})
 
-    summaries = inner.groupBy(key, "_b").applyInPandas(
+    summaries = laid_out(inner).mapInPandas(
         summarise, f"{key} {key_type}, _b bigint, {machine.summary_schema}"
     ).withColumn("_g", idiv(F.col("_b"), group))
     chained = summaries.groupBy(key, "_g").applyInPandas(
@@ -214,19 +273,12 @@ def follow(
     into_blocks = (
         summaries.groupBy(key, "_g")
         .cogroup(into_groups.groupBy(key, "_g"))
-        .applyInPandas(_if_any(entries_of_blocks), f"{key} {key_type}, _b bigint, {machine.state_schema}")
+        .applyInPandas(entries_of_blocks, f"{key} {key_type}, _b bigint, {machine.state_schema}")
     )
-    return (
-        cut.groupBy(key, "_b")
-        .cogroup(into_blocks.groupBy(key, "_b"))
-        .applyInPandas(_if_any(run), machine.output_schema)
+    states = into_blocks.select(
+        key, "_b", F.lit(True).alias("_entered"), *[F.col(n).alias(f"_in_{n}") for n in start]
     )
-
-
-def _if_any(work):
-    """Skip a cogroup whose rows side is empty."""
-
-    def guarded(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf, given) if len(pdf) else pd.DataFrame()
-
-    return guarded
+    entered = cut.join(states, [key, "_b"], "left").withColumn(
+        "_entered", F.coalesce("_entered", F.lit(False))
+    )
+    return laid_out(entered).mapInPandas(run, machine.output_schema)
