@@ -15,11 +15,9 @@ from tickloom.streaming import indicators as si
 
 @pytest.fixture
 def yearly_files(bars, tmp_path):
-    """Bars in one file per year, written in time order."""
+    """Bars written in time order, a few files for each year."""
     path = str(tmp_path / "bars")
-    for year in range(1995, 2002):
-        bars.where(F.year("date") == year).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.02)
+    sb.write_in_time_order(bars, path)
     return path
 
 
@@ -38,7 +36,7 @@ def equal(got, want, columns):
 def test_averages_over_batches(spark, bars, yearly_files, tmp_path):
     source = sb.parquet_stream(spark, yearly_files, bars.schema, files_per_trigger=1)
     query, got = run(spark, si.ewm_stream(source), tmp_path, "ewm")
-    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 7
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 7
     want = compute(bars, ind.ewm("close", 13, "ema_close"), ind.tmf(), ind.rsi_ewm())
     equal(got, want, ["ema_close", "tmf_w"])
     off_pole = F.abs("rsi_ewm") < 1000

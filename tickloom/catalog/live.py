@@ -18,6 +18,8 @@ from tickloom.streaming import bars as sb
 from tickloom.streaming import indicators as si
 
 _RUNS = [0]
+_REPLAYS: set[str] = set()
+FILES_PER_TRIGGER = 16
 
 
 def fresh(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -39,9 +41,13 @@ def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored bars as a stream of closed bars."""
+    """The bars replayed as a stream of closed bars, in several micro-batches."""
     bars = v.bars(spark, folder)
-    return sb.parquet_stream(spark, bars.inputFiles()[0].rsplit("/", 1)[0], bars.schema)
+    path = store.scratch(spark, "replay", store.tag(folder))
+    if path not in _REPLAYS:
+        sb.write_in_time_order(bars, path)
+        _REPLAYS.add(path)
+    return sb.parquet_stream(spark, path, bars.schema, files_per_trigger=FILES_PER_TRIGGER)
 
 
 CLOSED = "WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"

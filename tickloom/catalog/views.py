@@ -21,10 +21,16 @@ SINCE = "1998-01-01"
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered daily bars, written once per application and read by every query."""
+    """Numbered daily bars, written once per application and read by every query.
+
+    The bars are written before they are numbered, since numbering reads them twice.
+    """
+
+    def plain() -> DataFrame:
+        return src.shipment_bars(table(spark, folder, "lineitem"))
+
     return layer(
-        spark, folder, "bars",
-        lambda: index_bars(src.shipment_bars(table(spark, folder, "lineitem"))),
+        spark, folder, "bars", lambda: index_bars(layer(spark, folder, "plain_bars", plain))
     )
 
 

@@ -55,11 +55,20 @@ def ranked_by_year(years: DataFrame) -> DataFrame:
 
 
 def top_by_year(years: DataFrame, below: int = 10) -> DataFrame:
-    """Instrument-years whose rank is under ``below``; Spark limits the ranks before the exchange."""
+    """Instrument-years whose rank is under ``below``.
+
+    The best distinct ratios of each year are found first (Spark limits them before the
+    exchange), so that any number of ties is joined back without meeting in one task.
+    """
+    rated = with_win_loss(years)
     w = Window.partitionBy("year").orderBy(F.desc("win_loss_ratio"))
-    return (
-        with_win_loss(years).withColumn("drnk", F.dense_rank().over(w)).where(F.col("drnk") < below)
+    best = (
+        rated.select("year", "win_loss_ratio")
+        .distinct()
+        .withColumn("drnk", F.dense_rank().over(w))
+        .where(F.col("drnk") < below)
     )
+    return rated.join(best, ["year", "win_loss_ratio"])
 
 
 def by_instrument() -> WindowSpec:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -53,6 +53,27 @@ def in_order(steps: Iterable[Step]) -> list[Step]:
     return list(found.values())
 
 
+def side_by_side(steps: Sequence[Step], window: WindowSpec) -> Iterator[dict[str, Column]]:
+    """The layers of all steps, those that do not wait for each other put into one.
+
+    Window columns of one layer are evaluated in a single pass over the rows.
+    """
+    waiting = {step.name: (step, [dict(layer) for layer in step.layers(window)]) for step in steps}
+    done: set[str] = set()
+    while waiting:
+        ready = [n for n, (step, _) in waiting.items() if all(s.name in done for s in step.needs)]
+        together: dict[str, Column] = {}
+        for name in ready:
+            layers = waiting[name][1]
+            if layers:
+                together.update(layers.pop(0))
+            if not layers:
+                del waiting[name]
+                done.add(name)
+        if together:
+            yield together
+
+
 def compute(
     indexed: DataFrame, *steps: Step, select: Sequence[str | Column] | None = None,
     block: int = BLOCK_ROWS,
@@ -67,9 +88,8 @@ def compute(
         raise ValueError("look-back too long for so strong a decay; compute it in two passes")
     out = spread(indexed, back, ahead, block)
     window = block_window()
-    for step in todo:
-        for layer in step.layers(window):
-            out = out.withColumns(dict(layer))
+    for layer in side_by_side(todo, window):
+        out = out.withColumns(layer)
     out = settle(out)
     if select is not None:
         return out.select(*select)
