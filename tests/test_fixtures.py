@@ -71,14 +71,14 @@ def test_truncated_average(spark):
     rows = [(1, i, x) for i, x in enumerate(values)] + [(2, 0, 1.1), (2, 1, 1.1)]
     out = compute(
         series(spark, rows),
-        ind.ema_truncated("close", 2, "wilder", "hof"), ind.ema_lag_sum("close", 2, "wilder", "lags"),
+        ind.ema_truncated_fold("close", 2, "wilder", "hof"), ind.ema_truncated("close", 2, "wilder", "sums"),
+        ind.ema_lag_sum("close", 2, "wilder", "lags"),
     ).orderBy("ticker", "date")
-    got = [(r.hof, r.lags) for r in out.collect()]
-    assert got[:10] == [(None, None)] * 10 and got[15:] == [(None, None)] * 2
+    got = [(r.hof, r.sums, r.lags) for r in out.collect()]
+    assert got[:10] == [(None,) * 3] * 10 and got[15:] == [(None,) * 3] * 2
     expected = [1.88779297, 3.44384766, 2.27197266, 1.68642578, 1.39277344]
-    for (hof, lags), want in zip(got[10:15], expected):
-        assert hof == pytest.approx(want, abs=1e-8)
-        assert lags == pytest.approx(want, abs=1e-8)
+    for forms, want in zip(got[10:15], expected):
+        assert forms == pytest.approx((want,) * 3, abs=1e-8)
 
 
 def test_lookbacks():

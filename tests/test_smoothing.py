@@ -40,6 +40,24 @@ def test_ewm_with_nulls(spark):
     np.testing.assert_allclose(out["e"], want, rtol=1e-12)
 
 
+def test_truncated_forms_agree(spark):
+    """Running sums against folded lists, with gaps and values that are not finite."""
+    bars = series(spark, [(1, i, float(x)) for i, x in enumerate(walk(1200))])
+    n = F.col("bar_index")
+    odd = (
+        F.when(n == 300, None).when(n == 450, float("nan")).when(n.isin(600, 700), float("inf"))
+        .when(n == 705, -float("inf")).when(n == 800, -float("inf")).otherwise(F.col("close"))
+    )
+    bars = bars.withColumn("x", odd)
+    steps = ind.ema_truncated("x", 14, "wilder", "sums"), ind.ema_truncated_fold("x", 14, "wilder", "lists")
+    for block in (4096, 130):
+        out = compute(bars, *steps, block=block).orderBy("bar_index").select("sums", "lists")
+        assert out.where("(sums IS NULL) <> (lists IS NULL)").count() == 0
+        got = out.toPandas()
+        np.testing.assert_allclose(got["sums"], got["lists"], rtol=1e-12)
+        assert got["sums"].notna().sum() > 700 and np.isinf(got["sums"]).any()
+
+
 def test_reach_and_span():
     assert ewm_reach(13) > 600 and ewm_span(13) > 4096 + ewm_reach(13)
     with pytest.raises(ValueError):

@@ -267,16 +267,13 @@ def ewm_wilder(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(out, rounded=("ema_12", "ema_26", "ema_volume", "ema_busy"))
 
 
-@query(
-    "ema_truncated",
-    sql(
-        f"""
-        SELECT ticker, date, {r(truncated('close', 12, 'standard'))} AS ema_12,
-               {r(truncated('volume', 14, 'wilder'))} AS ema_volume FROM idx
-        """,
-        "idx",
-    ),
-)
+TRUNCATED = f"""
+    SELECT ticker, date, {r(truncated('close', 12, 'standard'))} AS ema_12,
+           {r(truncated('volume', 14, 'wilder'))} AS ema_volume FROM idx
+"""
+
+
+@query("ema_truncated", sql(TRUNCATED, "idx"))
 def ema_truncated(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(
         spark, folder,
@@ -286,6 +283,16 @@ def ema_truncated(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(out, rounded=("ema_12", "ema_volume"))
 
 
+@query("ema_truncated_fold", sql(TRUNCATED, "idx"))
+def ema_truncated_fold(spark: SparkSession, folder: str) -> DataFrame:
+    out = v.on_bars(
+        spark, folder,
+        ind.ema_truncated_fold("close", 12, "standard", "ema_12"),
+        ind.ema_truncated_fold("volume", 14, "wilder", "ema_volume"),
+    )
+    return v.by_bar(out, rounded=("ema_12", "ema_volume"))
+
+
 @query("ema_lag_sum", sql(f"SELECT ticker, date, {r(truncated('close', 5, 'standard'))} AS ema_5 FROM idx", "idx"))
 def ema_lag_sum(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, ind.ema_lag_sum("close", 5, "standard", "ema_5"))

@@ -82,7 +82,9 @@ def truncated_ema(
 ) -> Column:
     """Exponential average over a fixed look-back, NULL until that many values are there.
 
-    The oldest value stands for everything before it, so that the weights sum to 1.
+    The oldest value stands for everything before it, so that the weights sum to 1. This
+    form folds the list of values and works on any window; over blocks of bars, the
+    layers of ``truncated_layers`` cost less.
     """
     s = Smoothing.of(period, kind)
     back = lookback_of(period, kind, period_as_lookback)
@@ -93,6 +95,63 @@ def truncated_ema(
     return F.when(F.size(history) == back + 1, folded)
 
 
+def truncated_span(period: int, kind: str) -> int:
+    """Rows a block may have before the growing weights of ``truncated_layers`` overflow."""
+    return int(LARGEST_EXPONENT / -math.log(Smoothing.of(period, kind).decay))
+
+
+def truncated_layers(
+    column: str, period: int, kind: str, out: str, window: WindowSpec,
+    period_as_lookback: bool = False,
+) -> list[dict[str, Column]]:
+    """The truncated average from running sums: what has left the look-back is taken off.
+
+    That part weighs a thousandth, so no digits cancel. Values that are not finite are
+    kept out of the sums and counted instead, since they would never leave them again.
+    """
+    s = Smoothing.of(period, kind)
+    back = lookback_of(period, kind, period_as_lookback)
+    x, place = F.col(column), offset().cast("double")
+    growth = -math.log(s.decay)
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    counts = {
+        "values": x.isNotNull(), "nans": F.isnan(x),
+        "ups": x == float("inf"), "downs": x == -float("inf"),
+    }
+
+    def name(part: str) -> str:
+        return f"_{out}_{part}"
+
+    def within(part: str) -> Column:
+        before = F.lag(name(part), back + 1).over(window)
+        return F.col(name(part)) - F.coalesce(before, F.lit(0))
+
+    newer = F.col(name("sum")) - F.coalesce(F.col(name("left")), F.lit(0.0))
+    mean = newer * F.exp(-place * growth) * s.weight + F.col(name("oldest")) * (s.decay**back)
+    nans, ups, downs = (F.col(name(f"{p}_in")) for p in ("nans", "ups", "downs"))
+    return [
+        {
+            name("sum"): F.sum(finite * F.exp(place * growth)).over(upto),
+            **{name(p): F.count(F.when(c, 1)).over(upto) for p, c in counts.items()},
+        },
+        {
+            name("left"): F.lag(name("sum"), back).over(window),
+            name("oldest"): F.lag(column, back).over(window),
+            **{name(f"{p}_in"): within(p) for p in counts},
+        },
+        {
+            out: F.when(
+                F.col(name("values_in")) == back + 1,
+                F.when((nans > 0) | ((ups > 0) & (downs > 0)), float("nan"))
+                .when(ups > 0, float("inf"))
+                .when(downs > 0, -float("inf"))
+                .otherwise(mean),
+            )
+        },
+    ]
+
+
 def lagged_ema(
     column: str, period: int, kind: str, window: WindowSpec, period_as_lookback: bool = False
 ) -> Column:

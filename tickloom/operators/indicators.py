@@ -45,10 +45,23 @@ def ema_truncated(
     column: str, period: int, kind: str, out: str, needs: tuple[Step, ...] = (),
     period_as_lookback: bool = False,
 ) -> Step:
+    """Average over a fixed look-back, from running sums."""
     return Step(
         f"ema_truncated:{column}:{period}:{kind}:{period_as_lookback}:{out}",
-        lambda w: [{out: sm.truncated_ema(F.col(column), period, kind, w, period_as_lookback)}],
+        lambda w: sm.truncated_layers(column, period, kind, out, w, period_as_lookback),
         needs,
+        back=sm.lookback_of(period, kind, period_as_lookback) + 1,
+        span=sm.truncated_span(period, kind),
+    )
+
+
+def ema_truncated_fold(
+    column: str, period: int, kind: str, out: str, period_as_lookback: bool = False
+) -> Step:
+    """The same by folding lists of values."""
+    return Step(
+        f"ema_truncated_fold:{column}:{period}:{kind}:{period_as_lookback}:{out}",
+        lambda w: [{out: sm.truncated_ema(F.col(column), period, kind, w, period_as_lookback)}],
         back=sm.lookback_of(period, kind, period_as_lookback),
     )
 

@@ -14,6 +14,7 @@ from tickloom.operators import reports
 from tickloom.operators.trades import ExitRule, first_hit_exit
 from tickloom.plans.layout import rows
 from tickloom.plans.steps import Step, compute, identity
+from tickloom.session import use_checkpoints
 
 
 def reads(back: Callable[..., int], ahead: Callable[..., int] = lambda **_: 0, span=lambda **_: None):
@@ -78,8 +79,11 @@ def share_of_strength(strength: Column, total: Column, count: Column) -> Column:
 def allocate(signals: DataFrame, share: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Split each day's capital over its signals by their ``strength``.
 
-    Days are summed up first and joined back, so no task holds all signals of a day.
+    Days are summed up first and joined back, so no task holds all signals of a day. The
+    signals, few against the bars, are checkpointed, so that this does not find them twice.
     """
+    use_checkpoints(signals.sparkSession)
+    signals = signals.checkpoint()
     days = signals.groupBy("date").agg(
         F.sum("strength").alias("_total"), F.count("strength").alias("_count")
     )
