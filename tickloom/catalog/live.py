@@ -205,7 +205,7 @@ view("test_trades", "test_outcomes", "SELECT * FROM test_outcomes WHERE signal =
         SELECT year, CAST(sum(n) AS BIGINT) AS opportunities, CAST(sum(won) AS BIGINT) AS success,
                CAST(sum(lost) AS BIGINT) AS fail, {r('CAST(sum(won) AS DOUBLE) / CAST(sum(lost) AS DOUBLE)')} AS success_fail_ratio,
                {r('sum(mean * n) / CAST(sum(n) AS DOUBLE)')} AS avg_return_rate
-        FROM (SELECT ticker, year(date) AS year, count(net) AS n, avg(net) AS mean,
+        FROM (SELECT ticker, CAST(year(date) AS INTEGER) AS year, count(net) AS n, avg(net) AS mean,
                      count(*) FILTER (WHERE net > 1) AS won, count(*) FILTER (WHERE net < 1) AS lost
               FROM (SELECT *, exit_gain_loss - 0.002 AS net FROM test_trades) GROUP BY 1, 2) GROUP BY 1
         """,

@@ -400,7 +400,7 @@ def rank_by_product(spark: SparkSession, folder: str) -> DataFrame:
 # ---- bars ----------------------------------------------------------------------------------------
 
 
-@query("tickers_per_year", sql("SELECT year(date) AS year, count(DISTINCT ticker) AS tickers FROM bars GROUP BY 1", "bars"))
+@query("tickers_per_year", sql("SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT ticker) AS tickers FROM bars GROUP BY 1", "bars"))
 def tickers_per_year(spark: SparkSession, folder: str) -> DataFrame:
     return reports.tickers_per_year(v.bars(spark, folder))
 
@@ -484,7 +484,7 @@ def annualised_return(spark: SparkSession, folder: str) -> DataFrame:
     "hold_return",
     sql(
         f"""
-        SELECT ticker, year(date) AS year, {r('arg_max(close, date) / arg_min(open, date)')} AS hold_return
+        SELECT ticker, CAST(year(date) AS INTEGER) AS year, {r('arg_max(close, date) / arg_min(open, date)')} AS hold_return
         FROM bars GROUP BY 1, 2
         """,
         "bars",

@@ -128,7 +128,7 @@ def monthly_return(spark: SparkSession, folder: str) -> DataFrame:
     "yearly_return",
     sql(
         f"""
-        SELECT year(month) AS year, {r('product(m)')} AS yearly_exponential_return,
+        SELECT CAST(year(month) AS INTEGER) AS year, {r('product(m)')} AS yearly_exponential_return,
                {r('sqrt(greatest(product(m * m + s) - product(m) * product(m), 0))')} AS yearly_std
         FROM (SELECT {MONTH} AS month, avg(y_true) AS m, var_pop(y_true) AS s FROM preds
               WHERE y_pred > {THRESHOLD} GROUP BY 1) GROUP BY 1

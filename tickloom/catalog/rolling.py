@@ -376,7 +376,7 @@ def _arrays(name: str, body: str):
     return query(name, sql(f"SELECT ticker, date, {body} FROM (SELECT *, {COMING} AS l FROM idx)", "idx"))
 
 
-@_arrays("array_first_hit", "list_position(list_transform(l, lambda x: x / close > 1.02), true) - 1 AS first_hit")
+@_arrays("array_first_hit", "CAST(list_position(list_transform(l, lambda x: x / close > 1.02), true) - 1 AS BIGINT) AS first_hit")
 def array_first_hit(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, lists(5)[1])
     hit = arr.first_place(F.col("coming"), lambda x: x / F.col("close") > 1.02)
@@ -390,7 +390,7 @@ def array_get(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(out.withColumn("picked", F.get("coming", place)), "picked")
 
 
-@_arrays("array_argmax", "list_position(l, list_max(l)) - 1 AS arg_max, coalesce(len(l), 0) AS size")
+@_arrays("array_argmax", "CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS arg_max, coalesce(len(l), 0) AS size")
 def array_argmax(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, lists(5)[1])
     out = out.withColumns(

@@ -141,7 +141,7 @@ EXITS = f"""
            CASE WHEN exit_point IS NULL THEN NULL WHEN gain_at + 1 = exit_point THEN 'gain'
                 WHEN loss_at + 1 = exit_point THEN 'loss' ELSE 'period' END AS exit_reason
     FROM (SELECT *, lx[exit_point + 1] AS exit_price, ld[exit_point + 1] AS exit_date
-    FROM (SELECT *, CASE WHEN entry_price IS NOT NULL THEN least(gain_at, loss_at, 10) + 1 END AS exit_point
+    FROM (SELECT *, CASE WHEN entry_price IS NOT NULL THEN CAST(least(gain_at, loss_at, 10) + 1 AS BIGINT) END AS exit_point
     FROM (SELECT *,
             list_position(list_transform(lc, lambda x: x / entry_price > 1.05), true) - 1 AS gain_at,
             list_position(list_transform(lc, lambda x: x / entry_price < 0.95), true) - 1 AS loss_at
@@ -155,7 +155,7 @@ view("trades", "outcomes", "SELECT * FROM outcomes WHERE signal = 1")
 view(
     "trade_year", "trades",
     """
-    SELECT ticker, year(date) AS year, avg(exit_gain_loss) AS avg_return,
+    SELECT ticker, CAST(year(date) AS INTEGER) AS year, avg(exit_gain_loss) AS avg_return,
            count(exit_gain_loss) AS trade_count,
            count(*) FILTER (WHERE exit_gain_loss > 1) AS trades_won,
            count(*) FILTER (WHERE exit_gain_loss < 1) AS trades_lost
@@ -247,8 +247,8 @@ def signal_bar_exit(base: str, hold: int, gain: float, loss: float, tag: str) ->
     return f"""
     SELECT *, exit_slip_price{tag} / next_entry_price - 0.002 AS gain_loss_ratio{tag} FROM (
     SELECT *, lm{tag}[exit_index{tag} + 1] AS exit_slip_price{tag} FROM (
-    SELECT *, list_position(list_transform(lc{tag}, lambda x, i:
-        coalesce(x / next_entry_price > {gain} OR x / next_entry_price < {loss}, false) OR i = {hold + 1}), true) + 1
+    SELECT *, CAST(list_position(list_transform(lc{tag}, lambda x, i:
+        coalesce(x / next_entry_price > {gain} OR x / next_entry_price < {loss}, false) OR i = {hold + 1}), true) + 1 AS BIGINT)
         AS exit_index{tag} FROM (
     SELECT *, list(close) {frame(0, hold + 1)} AS lc{tag},
               list((high + low) / 2) {frame(0, hold + 3)} AS lm{tag} FROM {base})))

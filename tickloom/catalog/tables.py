@@ -80,7 +80,7 @@ def latest_csv(spark: SparkSession, folder: str) -> DataFrame:
     return store.read_latest_csv(spark, path, bars.schema)
 
 
-@query("roundtrip_parquet", sql(f"SELECT {BAR}, year(date) AS year FROM bars WHERE date >= DATE '2000-01-01'", "bars"))
+@query("roundtrip_parquet", sql(f"SELECT {BAR}, CAST(year(date) AS INTEGER) AS year FROM bars WHERE date >= DATE '2000-01-01'", "bars"))
 def roundtrip_parquet(spark: SparkSession, folder: str) -> DataFrame:
     path = store.scratch(spark, "roundtrip_parquet", store.tag(folder))
     subset = v.bars(spark, folder).where(F.col("date") >= "2000-01-01").select(BAR_COLUMNS)
