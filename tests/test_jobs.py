@@ -23,6 +23,22 @@ def test_absent_columns_are_null(spark, tmp_path):
     assert rows[0].close == 1.5 and rows[0].adj_close is None and rows[0].stock_splits is None
 
 
+def test_nanosecond_files(spark, tmp_path):
+    """Files as a data-frame library writes them, with nanosecond timestamps."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    days = pd.to_datetime(["2000-01-03", "2000-01-04"]).astype("datetime64[ns]")
+    frame = pd.DataFrame({"Date": days, "Ticker": "A", "Close": [1.0, 2.0], "Volume": [10.0, 20.0]})
+    pq.write_table(pa.Table.from_pandas(frame), str(tmp_path / "bars.parquet"), version="2.6")
+    (tmp_path / "notes.txt").write_text("not a bar file")
+    rows = src.tidy(src.scan_bars(spark, str(tmp_path), glob="*.parquet")).orderBy("date").collect()
+    assert [(str(r.date), r.ticker, r.close, r.open) for r in rows] == [
+        ("2000-01-03", "A", 1.0, None), ("2000-01-04", "A", 2.0, None),
+    ]
+
+
 def test_dates_before_1970(spark):
     df = spark.createDataFrame([(-1,), (0,), (-86_400_000_000_000,)], "ns bigint")
     got = [str(r[0]) for r in df.select(src.ns_to_date(F.col("ns"))).collect()]

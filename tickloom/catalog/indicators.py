@@ -75,6 +75,10 @@ signed_rsi(
     "rsi", "rsi_avg_gain", "rsi_avg_loss", f"avg(gain) {last_rows(14)}", f"avg(loss) {last_rows(14)}",
     lambda: ind.rsi_sma(),
 )
+signed_rsi(
+    "rsi_incl", "rsi_incl_avg_gain", "rsi_incl_avg_loss",
+    f"avg(gain) {last_rows(15)}", f"avg(loss) {last_rows(15)}", lambda: ind.rsi_sma(15, "rsi_incl"),
+)
 signed_rsi("rsi_ewm", "ema_gain", "ema_loss", ewm("gain", 13), ewm("loss", 13), lambda: ind.rsi_ewm())
 signed_rsi(
     "rsi_truncated", "ema_gain_t", "ema_loss_t",

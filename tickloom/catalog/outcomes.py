@@ -13,6 +13,7 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import reports, series
 from tickloom.operators import trades as tr
 from tickloom.plans.steps import Step
+from tickloom.sources import store
 
 # ---- exits -----------------------------------------------------------------------------------
 
@@ -195,6 +196,28 @@ def year_profile(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("year")
 
 
+PROFILE = """
+    SELECT year, sum(trade_count) AS opportunities, sum(trades_won) AS won,
+           max(avg_return) AS best_return, count(DISTINCT ticker) AS tickers
+    FROM {0} GROUP BY year HAVING sum(trade_count) > 0 ORDER BY year
+"""
+
+
+@query(
+    "sql_over_frame",
+    sql(
+        f"""
+        SELECT year, CAST(opportunities AS BIGINT) AS opportunities, CAST(won AS BIGINT) AS won,
+               {rs('best_return')}, tickers FROM ({PROFILE.format('trade_year')})
+        """,
+        "trade_year",
+    ),
+)
+def sql_over_frame(spark: SparkSession, folder: str) -> DataFrame:
+    out = store.sql_over(spark, PROFILE.format("{years}"), years=v.trade_year(spark, folder))
+    return out.select("year", "opportunities", "won", v.r("best_return"), "tickers")
+
+
 @query("win_loss_ratio", sql(f"SELECT ticker, year, {rs('win_loss_ratio')} FROM ratios", "ratios"))
 def win_loss_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return reports.with_win_loss(v.trade_year(spark, folder)).select("ticker", "year", v.r("win_loss_ratio"))

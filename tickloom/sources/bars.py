@@ -42,7 +42,12 @@ def date_to_ns(date: Column) -> Column:
 def scan_bars(
     spark: SparkSession, path: str, schema: T.StructType = BAR_FILE_SCHEMA, glob: str | None = None
 ) -> DataFrame:
-    """Scan a folder of bar files. Columns absent from a file come back as NULL."""
+    """Scan a folder of bar files. Columns absent from a file come back as NULL.
+
+    Files written with nanosecond timestamps are read as whole numbers, which Spark does
+    only with the setting below.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     reader = spark.read.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -52,9 +57,10 @@ def scan_bars(
 def tidy(stored: DataFrame) -> DataFrame:
     """Stored bar columns under the names used everywhere else, with a real date."""
     names = {c: c.lower().replace(" ", "_") for c in stored.columns if c != "Date"}
+    in_ns = isinstance(stored.schema["Date"].dataType, T.LongType)
+    date = ns_to_date(F.col("Date")) if in_ns else F.col("Date").cast("date")
     return stored.select(
-        ns_to_date(F.col("Date")).alias("date"),
-        *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
+        date.alias("date"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()]
     )
 
 

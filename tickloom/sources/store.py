@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sql_over(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """SQL over data frames, which the text names in braces."""
+    return spark.sql(text, **frames)
+
+
 def scratch(spark: SparkSession, *parts: str) -> str:
     """A path of this application below the shared folder."""
     return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, *parts)
