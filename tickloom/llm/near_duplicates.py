@@ -19,7 +19,8 @@ Lists of common values are long, and pairs within them would grow with the squar
 cuts them into parts and verifies only the best partner of each class; the links found make
 components. The second round looks at all pairs of a list that still lie in different
 components, long lists in blocks against blocks. Thus every link that could join two components
-is verified, while pairs within a component need not be.
+is verified, while pairs within a component need not be. Where the estimate is exact, a link found
+joins the two components for the rest of the list, so that links do not pile up in dense groups.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ from tickloom.llm.words import BLANK, grams, slices, split
 
 RETAINED = 32
 SHARED = 14
-SKETCH = 128
+SKETCH = 256
 #: Classes of a list that are compared with each other in one part of the first round.
 PART = 128
 #: Classes of a list in one block of the second round.
 BLOCK = 1024
 #: Pairs compared at a time within a task.
-PAIRS = 1 << 15
+PAIRS = 1 << 12
 
 _PRINTS = "doc_id bigint, high bigint, low bigint, n int, node bigint, retained array<bigint>, sketch binary"
 
@@ -121,8 +122,8 @@ def _lowest(total: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _estimates(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
-    """Common share of the union sketch of the pairs, and whether it is high enough."""
-    share, good = np.zeros(len(a)), np.zeros(len(a), bool)
+    """Common share of the union sketch of the pairs, whether it is high enough, and if it is exact."""
+    share, good, exact = np.zeros(len(a)), np.zeros(len(a), bool), np.zeros(len(a), bool)
     for s in range(0, len(a), PAIRS):
         x, y = a[s : s + PAIRS], b[s : s + PAIRS]
         both = np.concatenate([sketch[x], sketch[y]], axis=1)
@@ -137,7 +138,8 @@ def _estimates(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray,
         whole = (n[x] <= SKETCH) & (n[y] <= SKETCH) & (place[:, -1] <= SKETCH)
         bound = np.where(whole, similarity * size - 1e-6, np.minimum(_lowest(n[x] + n[y], similarity), similarity * size))
         good[s : s + PAIRS] = common >= bound
-    return share, good
+        exact[s : s + PAIRS] = whole
+    return share, good, exact
 
 
 class _Members:
@@ -148,7 +150,7 @@ class _Members:
         self.n = table["n"].to_numpy().astype(np.int64)
         self.value = table["value"].to_numpy()
         self.unit = table["unit"].to_numpy()
-        self.label = table["label"].to_numpy()
+        self.label = table["label"].to_numpy().copy()
         self.side = table["side"].to_numpy()
         self.sketch = _padded(table["sketch"].combine_chunks(), SKETCH)
         prefix = table["prefix"].combine_chunks()
@@ -170,6 +172,20 @@ class _Members:
         return out
 
 
+    def joining(self, a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of exact links those that join two components, which are one from then on; all others."""
+        first, second = [a[~exact]], [b[~exact]]
+        a, b = a[exact], b[exact]
+        while len(a):
+            first.append(a[:1])
+            second.append(b[:1])
+            unit = (self.value == self.value[a[0]]) & (self.unit == self.unit[a[0]])
+            self.label[unit & (self.label == self.label[b[0]])] = self.label[a[0]]
+            apart = self.label[a] != self.label[b]
+            a, b = a[apart], b[apart]
+        return np.concatenate(first), np.concatenate(second)
+
+
 def _padded(sketches: pa.Array, width: int) -> np.ndarray:
     _, offsets, data = sketches.buffers()
     edges = np.frombuffer(offsets, np.int32)[sketches.offset : sketches.offset + len(sketches) + 1] // 4
@@ -214,7 +230,7 @@ def _pairs_within(m: _Members, percent: int) -> Iterator[tuple[np.ndarray, np.nd
     total = np.concatenate([[0], np.cumsum(ahead)])
     at = 0
     while at < len(stop):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + 8 * PAIRS, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(total, total[at] + 64 * PAIRS, "right")) - 1)
         a = np.repeat(np.arange(at, to), ahead[at:to])
         b = a + 1 + np.arange(len(a)) - np.repeat(total[at:to] - total[at], ahead[at:to])
         low, high = np.minimum(m.n[a], m.n[b]), np.maximum(m.n[a], m.n[b])
@@ -232,8 +248,8 @@ def _candidates(best: bool, percent: int):
             m = _Members(table)
             top, partner = np.zeros(len(m.node)), np.full(len(m.node), -1)
             for a, b in _pairs_within(m, percent):
-                share, good = _estimates(m.sketch, m.n, a, b, percent / 100)
-                a, b, share = a[good], b[good], share[good]
+                share, good, exact = _estimates(m.sketch, m.n, a, b, percent / 100)
+                a, b, share, exact = a[good], b[good], share[good], exact[good]
                 if best:  # the best partner in the list for each class but the first
                     order = np.lexsort((share, b))
                     a, b, share = a[order], b[order], share[order]
@@ -241,8 +257,8 @@ def _candidates(best: bool, percent: int):
                     a, b, share = a[end], b[end], share[end]
                     better = share > top[b]
                     top[b[better]], partner[b[better]] = share[better], a[better]
-                elif len(a):
-                    yield _pairs(m, a, b)
+                else:
+                    yield _pairs(m, *m.joining(a, b, exact))
             if best and (partner >= 0).any():
                 b = np.flatnonzero(partner >= 0)
                 yield _pairs(m, partner[b], b)
