@@ -85,10 +85,12 @@ def codewords(languages: int) -> np.ndarray:
     Few languages get every way to part them in two, more of them the best of some fixed random codes
     with ten bits for each doubling.
     """
+    if languages < 2:
+        return np.zeros((languages, 0), np.int8)
     if languages <= EVERY:
-        ways = range(1, 1 << max(0, languages - 1))
+        ways = range(1, 1 << (languages - 1))
         columns = [[0, *(way >> i & 1 for i in range(languages - 1))] for way in ways]
-        return np.array(columns, np.int8).reshape(-1, languages).T
+        return np.array(columns, np.int8).T
     bits = 10 * (languages - 1).bit_length()
     best, widest = None, -1
     for seed in range(32):
