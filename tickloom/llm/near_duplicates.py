@@ -293,10 +293,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     ``docs`` needs doc_id and text, other columns are ignored. Returns for each row doc_id,
     high and low (a 128-bit key of the text), n_shingles, component_id (the smallest doc_id that
-    links lead to, its own included), kept (doc_id = component_id).
+    links lead to, its own included), kept (doc_id = component_id), group (a number of the component).
 
     A text with fewer words is one shingle. A text that is null or has no words has an empty set
-    and is linked with nothing, not even with another such text. Rows with the same set belong
+    and is linked with nothing, not even with another such text; its group is null. Rows with the same set belong
     together, whatever their doc_id; a row without doc_id is linked like any other but never
     names a component unless no member has a doc_id, and then component_id is null and kept false.
     Repeated rows appear as often as they come. An empty table gives an empty result.
@@ -397,4 +397,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.col("n").cast("bigint").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.col("label").alias("group"),
     )

@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bit_sliced, decontamination, language, mixing, substrings, token_files, toxicity
+from tickloom.llm import (
+    bit_sliced,
+    chat,
+    decontamination,
+    language,
+    licenses,
+    mixing,
+    substrings,
+    token_files,
+    toxicity,
+)
 from tickloom.llm.near_duplicates import near_duplicates
 from tickloom.llm.shared import query
 from tickloom.sources.store import table
@@ -31,12 +41,29 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(token_files.write_tokens(table(spark, folder, "documents"), vocabulary))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The table has no paths; a document lies in the folder of its language below that of its source."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @query("op5_top_k_bit_sliced")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
 
 
+@query("op6_chat_prefix_tree")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_conversations(*chat.build_tree(turns.unionByName(more), vocabulary), vocabulary)
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

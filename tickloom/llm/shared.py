@@ -47,3 +47,25 @@ def text_key(text: Column) -> Column:
     return F.struct(
         F.xxhash64(text, F.lit("a")).alias("high"), F.xxhash64(F.lit("b"), text).alias("low")
     )
+
+
+def matching(docs: DataFrame, rows: DataFrame, which: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text stand in ``rows`` (doc_id, high, low: see ``text_key``).
+
+    ``which`` is "one" for one row of each such pair, or "others" for the rows that do not stand there.
+    All columns of ``docs`` are kept, whatever their names. Null doc_ids match each other.
+    """
+    identity = ["id_null", "id", "high", "low"]
+
+    def named(doc_id: Column, high: Column, low: Column) -> list[Column]:
+        doc_id = doc_id.cast("bigint")
+        return [c.alias(n) for c, n in zip((doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), high, low), identity)]
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    given = docs.select(row).select("row", F.col("row.doc_id").alias("i"), text_key(F.col("row.text")).alias("k"))
+    given = given.select("row", *named(F.col("i"), F.col("k.high"), F.col("k.low")))
+    wanted = rows.select(*named(F.col("doc_id"), F.col("high"), F.col("low"))).distinct()
+    if which == "others":
+        return given.join(wanted, identity, "left_anti").select("row.*")
+    found = given.join(wanted, identity, "left_semi")
+    return found.groupBy(*identity).agg(F.first("row").alias("row")).select("row.*")
