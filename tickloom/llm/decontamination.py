@@ -28,7 +28,7 @@ from tickloom.llm.shared import stored, text_key
 from tickloom.llm.words import PLAIN, mix, slices, split
 
 #: Bytes of text in a shard, unless one text alone is longer.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Phrases sent to the tasks at a time; each has at most ``window`` terms of 8 bytes.
 BLOCK = 200_000
 

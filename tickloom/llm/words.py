@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time, unless one text alone is longer.
 CHUNK = 2 << 20
+#: Bytes hashed at a time, unless one word alone is longer.
+HASHED = 1 << 18
 
 _ALL = np.arange(256)
 BLANK = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
@@ -110,11 +112,19 @@ def split(texts: pa.Array, kind: np.ndarray = BLANK, fold: bool = False) -> Word
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    room = 1 << max(CHUNK.bit_length() - 1, int(len(data)).bit_length())
-    up, down = _powers(room)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """Hashes of the words, for some bytes at a time; a longer word takes what it needs."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + HASHED, "right")))
+        low, high = start[at], end[to - 1]
+        up, down = _powers(max(HASHED, 1 << int(high - low).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_CODES[data[low:high]] * up[: high - low], out=sums[1:])
+        s, e = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
