@@ -40,6 +40,8 @@ BATCH = 256
 END = 1
 #: Distinct parts whose ids a task keeps.
 KEPT = 1 << 19
+#: Parts that are encoded as one text.
+JOINED = 128
 
 _MANIFEST = "shard int, path string, index string, n_docs bigint, n_tokens bigint, n_sequences bigint"
 
@@ -67,13 +69,26 @@ class Encoder:
         self.ids = np.array([END], self.kind)  # entry 0 closes a document
         self.length = np.array([1])
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and how many belong to each.
+
+        Parts are encoded as texts of ``JOINED`` of them with spaces between; the place at which a token
+        begins tells its part.
+        """
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        ids, counts = [], []
+        for group, code in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            begin = np.cumsum([0, *(len(p) + 1 for p in group[:-1])])
+            place = np.fromiter((first for first, _ in code.offsets), np.int64, len(code))
+            ids.append(np.array(code.ids, self.kind))
+            counts.append(np.bincount(np.searchsorted(begin, place, "right") - 1, minlength=len(group)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with their end ids, and how many belong to each."""
         if not self.parts:
-            lists = [[*ids, END] for ids in self._encode([t or "" for t in texts.to_pylist()])]
+            whole = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            lists = [[*code.ids, END] for code in whole]
             flat = np.fromiter((i for ids in lists for i in ids), self.kind)
             return flat, np.array([len(ids) for ids in lists], np.int64)
         words = split(texts, BLANK)
@@ -84,11 +99,10 @@ class Encoder:
             self._forget()
         new = [p for p in parts if p not in self.known]
         if new:
-            lists = self._encode([p.decode("utf-8", "replace") for p in new])
-            base = len(self.length)
-            self.known.update((p, base + i) for i, p in enumerate(new))
-            self.length = np.concatenate([self.length, [len(ids) for ids in lists]])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in lists for i in ids), self.kind)])
+            ids, counts = self._encode_parts([p.decode("utf-8", "replace") for p in new])
+            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
+            self.length = np.concatenate([self.length, counts])
+            self.ids = np.concatenate([self.ids, ids])
         entry = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
         order = np.insert(entry[number], words.first[1:], 0)
         length = self.length[order]
@@ -222,11 +236,11 @@ class TokenFile:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, path, index in zip(*(c.to_pylist() for c in batch.columns)):
-            yield from _read(shard, path, index)
+        for path, index, base in zip(*(c.to_pylist() for c in batch.columns)):
+            yield from _read(path, index, base)
 
 
-def _read(shard: int, path: str, index: str) -> Iterator[pa.RecordBatch]:
+def _read(path: str, index: str, base: int) -> Iterator[pa.RecordBatch]:
     """One row per document of a file, computed from the ids read back."""
     tokens = TokenFile(path)
     have, at, current = np.zeros(0, "<u4"), 0, 0
@@ -245,9 +259,10 @@ def _read(shard: int, path: str, index: str) -> Iterator[pa.RecordBatch]:
                     crc = zlib.crc32(piece.data, crc)
                     at, count = at + len(piece), count - len(piece)
                 sums.append(crc)
+            start = pa.array(part.column("first").to_numpy() + base)
             yield pa.record_batch(
-                [pa.array([shard] * len(sums), pa.int32()), *part.columns, pa.array(sums, pa.int64())],
-                names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"],
+                [part.column("doc_id"), start, part.column("n_tokens"), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
 
@@ -257,11 +272,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before it, over all files.
     """
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-    files = manifest.select("shard", "path", "index").repartition("path")
-    found = files.mapInArrow(
-        _documents, "shard int, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint"
-    )
-    return found.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
+    files = manifest.select("path", "index", F.coalesce(before, F.lit(0)).cast("bigint").alias("base"))
+    return files.repartition("path").mapInArrow(
+        _documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
