@@ -12,6 +12,7 @@ from tickloom.functions.numeric import ieee_div, nan_to
 from tickloom.functions.smoothing import ewm_reach, ewm_span
 from tickloom.operators import indicators as ind
 from tickloom.operators import trades as tr
+from tickloom.plans.layout import BLOCK_ROWS
 from tickloom.plans.steps import Step, compute
 
 KEY = ["ticker", "bar_index"]
@@ -60,8 +61,40 @@ def test_truncated_forms_agree(spark):
 
 def test_reach_and_span():
     assert ewm_reach(13) > 600 and ewm_span(13) > 4096 + ewm_reach(13)
-    with pytest.raises(ValueError):
-        compute(None, Step("far", lambda w: [], back=10_000), Step("steep", lambda w: [], span=600))
+    assert all(ewm_span(com) > 10 * ewm_reach(com) for com in (0.1, 1, 4, 13, 199, 1000))
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e12])
+def test_ewm_on_long_series(spark, scale):
+    """Neither size of values, nor blocks, nor other steps change a result; NaN has no weight."""
+    x = walk(10_000, 5) * scale
+    x[[70, 5000, 5001]] = math.nan
+    bars = series(spark, [(1, i, float(v)) for i, v in enumerate(x)])
+    steps = [ind.ewm("close", com, f"e{com}") for com in (1, 4, 199)]
+    far = Step("far", lambda w: [{"far": F.lag("close", 700).over(w)}], back=700)
+    for block, more in ((128, ()), (1024, ()), (4096, (far,)), (None, ())):
+        out = compute(bars, *steps, *more, block=block).orderBy("bar_index").toPandas()
+        for com in (1, 4, 199):
+            want = pd.Series(x).ewm(com=com).mean().where(~np.isnan(x))
+            np.testing.assert_allclose(out[f"e{com}"], want, rtol=1e-9)
+    if scale == 1:
+        out = compute(bars, ind.ewm("close", 1000, "e")).orderBy("bar_index").toPandas()
+        np.testing.assert_allclose(out["e"], pd.Series(x).ewm(com=1000).mean().where(~np.isnan(x)), rtol=1e-9)
+
+
+def test_truncated_on_long_series(spark):
+    x = walk(8000, 6) * 1e7
+    bars = series(spark, [(1, i, float(v)) for i, v in enumerate(x)])
+    steps = ind.ema_truncated("close", 9, "standard", "sums"), ind.ema_truncated_fold("close", 9, "standard", "lists")
+    got = compute(bars, *steps).orderBy("bar_index").toPandas()
+    np.testing.assert_allclose(got["sums"], got["lists"], rtol=1e-9)
+
+
+@pytest.mark.parametrize("com", [1, 13, 199, 1000])
+def test_copies_do_not_grow_with_the_period(com):
+    step = ind.ewm("close", com, "e")
+    block = min(max(BLOCK_ROWS, 2 * step.back), step.span)
+    assert (block + step.back) / block <= 1.5
 
 
 def test_rsi_wilder_is_the_recursion(spark):

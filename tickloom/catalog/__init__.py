@@ -3,6 +3,7 @@
 from tickloom.catalog import (  # noqa: F401  (importing registers the queries)
     indicators,
     live,
+    long,
     outcomes,
     prediction,
     rolling,

@@ -9,6 +9,7 @@ from tickloom.catalog import views as v
 from tickloom.catalog.registry import query
 from tickloom.catalog.sql import past, r, rs, sql
 from tickloom.catalog.tables import BIN_SQL
+from tickloom.functions.numeric import ieee_div
 from tickloom.operators import indicators as ind
 from tickloom.operators import reports, series
 from tickloom.operators import trades as tr
@@ -73,7 +74,7 @@ def gain_loss_ratio(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, *both_rules())
     buy = F.when(F.col("close") > F.col("open"), 1).otherwise(0)
     out = out.withColumn(
-        "signal_ratio", buy * tr.net_ratio(F.col("exit_slip_price") / F.col("buy_price"))
+        "signal_ratio", buy * tr.net_ratio(ieee_div(F.col("exit_slip_price"), F.col("buy_price")))
     )
     return v.by_bar(out, rounded=("gain_loss_ratio", "gain_loss_ratio2", "signal_ratio"))
 
@@ -485,7 +486,7 @@ def max_drawdown(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sharpe(spark: SparkSession, folder: str) -> DataFrame:
     out = v.on_bars(spark, folder, ind.previous_close())
-    out = out.withColumn("ret", F.col("close") / F.col("prev_close") - 1)
+    out = out.withColumn("ret", ieee_div(F.col("close"), F.col("prev_close")) - 1)
     return reports.sharpe(out).select("ticker", v.r("sharpe"))
 
 

@@ -188,7 +188,7 @@ def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
 @query("run_ledger")
 def run_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Two searches append their runs to one table, which is then read back."""
-    path = store.scratch(spark, "run_ledger", store.tag(folder))
+    path = store.fresh(spark, "run_ledger")
     rows = split_rows(spark, folder)
     for trial in (("decision_tree", {"max_depth": 2}), ("decision_tree", {"max_depth": 4})):
         ledger, _ = models.param_search(rows, [trial])

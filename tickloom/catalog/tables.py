@@ -24,8 +24,8 @@ BAR_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "volume"]
 
 
 def stored_bars(spark: SparkSession, folder: str) -> str:
-    """Bars in the stored layout: an older file set, and a newer one that lacks some columns."""
-    path = store.scratch(spark, "stored", store.tag(folder))
+    """Bars in the stored layout: an older file set, a newer one that lacks some columns, and notes."""
+    path = store.fresh(spark, "stored")
     named = v.bars(spark, folder).select(
         src.date_to_ns(F.col("date")).alias("Date"),
         F.col("ticker").cast("string").alias("Ticker"),
@@ -37,6 +37,8 @@ def stored_bars(spark: SparkSession, folder: str) -> str:
     )
     store.write_parquet(old, f"{path}/old")
     store.write_parquet(named.where(F.col("Date") >= cut), f"{path}/new")
+    notes = spark.sql("SELECT 'split adjusted' AS note")
+    store.write_csv(notes, f"{path}/notes")
     return path
 
 
@@ -51,13 +53,14 @@ TIDY_SQL = f"""
 
 @query("scan_bars", sql(TIDY_SQL, "bars"))
 def scan_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return src.tidy(src.scan_bars(spark, stored_bars(spark, folder) + "/*"))
+    path = stored_bars(spark, folder)
+    return src.tidy(src.scan_bars(spark, f"{path}/{{old,new}}"))
 
 
-@query("scan_glob", sql(f"{TIDY_SQL} WHERE date < DATE '{v.SINCE}'", "bars"))
+@query("scan_glob", sql(TIDY_SQL, "bars"))
 def scan_glob(spark: SparkSession, folder: str) -> DataFrame:
-    path = stored_bars(spark, folder) + "/old"
-    return src.tidy(src.scan_bars(spark, path, glob="*.parquet"))
+    """The whole folder, in which the pattern leaves out the files of another kind."""
+    return src.tidy(src.scan_bars(spark, stored_bars(spark, folder) + "/*", glob="*.parquet"))
 
 
 @query(
@@ -71,18 +74,20 @@ def epoch_ns_to_date(spark: SparkSession, folder: str) -> DataFrame:
     return orders.withColumn("date", src.ns_to_date(F.col("ns")))
 
 
-@query("latest_csv")
+@query("latest_csv", sql(f"SELECT {BAR} FROM bars WHERE date = (SELECT max(date) FROM bars)", "bars"))
 def latest_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = store.scratch(spark, "csv_parts", store.tag(folder))
+    """A folder of many part files, to which the bars of the last day come as one file."""
+    path = store.fresh(spark, "csv_parts")
     bars = v.bars(spark, folder).select(BAR_COLUMNS)
-    store.write_csv(bars.where(F.col("date") < v.SINCE), f"{path}/1")
-    store.write_csv(bars.where(F.col("date") >= v.SINCE), f"{path}/2")
+    newest = bars.agg(F.max("date")).first()[0]
+    store.write_csv(bars.where(F.col("date") < newest), f"{path}/1")
+    store.write_csv(bars.where(F.col("date") == newest).coalesce(1), f"{path}/2")
     return store.read_latest_csv(spark, path, bars.schema)
 
 
 @query("roundtrip_parquet", sql(f"SELECT {BAR}, CAST(year(date) AS INTEGER) AS year FROM bars WHERE date >= DATE '2000-01-01'", "bars"))
 def roundtrip_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    path = store.scratch(spark, "roundtrip_parquet", store.tag(folder))
+    path = store.fresh(spark, "roundtrip_parquet")
     subset = v.bars(spark, folder).where(F.col("date") >= "2000-01-01").select(BAR_COLUMNS)
     store.write_parquet(subset.withColumn("year", F.year("date")), path, ["year"])
     return spark.read.parquet(path)
@@ -90,7 +95,7 @@ def roundtrip_parquet(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("roundtrip_csv", sql(f"SELECT {BAR} FROM bars", "bars"))
 def roundtrip_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = store.scratch(spark, "roundtrip_csv", store.tag(folder))
+    path = store.fresh(spark, "roundtrip_csv")
     bars = v.bars(spark, folder).select(BAR_COLUMNS)
     store.write_csv(bars, path)
     return store.read_csv(spark, path, bars.schema)

@@ -12,8 +12,9 @@ from tickloom.plans.layout import offset
 
 # Weights below this share of the newest one are beyond double precision.
 NEGLIGIBLE = 1e-20
-# exp() of more than this overflows a double (ln of the largest double is 709).
-LARGEST_EXPONENT = 700.0
+# Weights lie between exp(-this) and exp(this); a double reaches to 709, which leaves room for the
+# values themselves (up to 1e40 in size) and their sums.
+LARGEST_EXPONENT = 600.0
 # Share left outside a truncated average. Fixed value.
 TRUNCATION = 0.001
 
@@ -53,28 +54,42 @@ def ewm_reach(com: float) -> int:
 
 
 def ewm_span(com: float) -> int | None:
-    """Rows a block may have before the growing weights overflow."""
-    return int(LARGEST_EXPONENT / log_growth(com)) if com > 0 else None
+    """Own and following rows a block may have before the growing weights overflow."""
+    return int(2 * LARGEST_EXPONENT / log_growth(com)) if com > 0 else None
+
+
+def finite(value: Column) -> Column:
+    """The value, or NULL in place of NaN and infinity."""
+    x = value.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def growing(growth: float) -> Column:
+    """Weights growing along the block by exp(growth) a row, the same whatever copies a block has.
+
+    They start low in the block's first own row. Copies further back than counts get weights near or at zero.
+    """
+    return F.exp(offset().cast("double") * F.lit(growth) - F.lit(LARGEST_EXPONENT))
 
 
 def ewm_sum(value: Column, com: float, window: WindowSpec) -> Column:
-    """Sum of ``value`` with weights growing along the block; the common factor is left in."""
-    grown = F.exp(offset().cast("double") * F.lit(log_growth(com)))
+    """Sum of the finite values with weights growing along the block; the common factor is left in."""
     running = window.rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(value * grown).over(running)
+    return F.sum(finite(value) * growing(log_growth(com))).over(running)
 
 
 def ewm(value: Column, com: float, window: WindowSpec) -> Column:
-    """Adjusted exponentially weighted mean; NULL values take up a place but have no weight.
+    """Adjusted exponentially weighted mean.
 
-    Numerator and denominator are running sums in which row i weighs a^-i. The factor
-    a^t that turns these into decaying weights is the same in both and cancels.
+    Values that are NULL, NaN or infinite take up a place but have no weight, and the mean is
+    NULL there. Numerator and denominator are running sums in which row i weighs a^-i. The
+    factor a^t that turns these into decaying weights is the same in both and cancels.
     """
+    there = finite(value).isNotNull()
     if com == 0:
-        return value
-    present = F.when(value.isNotNull(), F.lit(1.0))
-    mean = ewm_sum(value, com, window) / ewm_sum(present, com, window)
-    return F.when(value.isNotNull(), mean)
+        return F.when(there, value)
+    mean = ewm_sum(value, com, window) / ewm_sum(F.when(there, F.lit(1.0)), com, window)
+    return F.when(there, mean)
 
 
 def truncated_ema(
@@ -96,8 +111,8 @@ def truncated_ema(
 
 
 def truncated_span(period: int, kind: str) -> int:
-    """Rows a block may have before the growing weights of ``truncated_layers`` overflow."""
-    return int(LARGEST_EXPONENT / -math.log(Smoothing.of(period, kind).decay))
+    """Own and following rows a block may have before the weights of ``truncated_layers`` overflow."""
+    return int(2 * LARGEST_EXPONENT / -math.log(Smoothing.of(period, kind).decay))
 
 
 def truncated_layers(
@@ -111,9 +126,7 @@ def truncated_layers(
     """
     s = Smoothing.of(period, kind)
     back = lookback_of(period, kind, period_as_lookback)
-    x, place = F.col(column), offset().cast("double")
-    growth = -math.log(s.decay)
-    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    x, weight = F.col(column), growing(-math.log(s.decay))
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     counts = {
         "values": x.isNotNull(), "nans": F.isnan(x),
@@ -128,11 +141,11 @@ def truncated_layers(
         return F.col(name(part)) - F.coalesce(before, F.lit(0))
 
     newer = F.col(name("sum")) - F.coalesce(F.col(name("left")), F.lit(0.0))
-    mean = newer * F.exp(-place * growth) * s.weight + F.col(name("oldest")) * (s.decay**back)
+    mean = newer / weight * s.weight + F.col(name("oldest")) * (s.decay**back)
     nans, ups, downs = (F.col(name(f"{p}_in")) for p in ("nans", "ups", "downs"))
     return [
         {
-            name("sum"): F.sum(finite * F.exp(place * growth)).over(upto),
+            name("sum"): F.sum(finite(x) * weight).over(upto),
             **{name(p): F.count(F.when(c, 1)).over(upto) for p, c in counts.items()},
         },
         {

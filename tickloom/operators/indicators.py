@@ -121,7 +121,7 @@ def macd_signal(period: int = SIGNAL) -> Step:
 
 def change_split() -> Step:
     """Change within the bar, split into a gain and a loss; the loss keeps its sign."""
-    change = F.col("close") / F.col("open") - 1
+    change = ieee_div(F.col("close"), F.col("open")) - 1
     return Step(
         "change_split",
         lambda w: [

@@ -232,7 +232,7 @@ def sharpe(returns: DataFrame) -> DataFrame:
 
 def annualised_return(bars: DataFrame) -> DataFrame:
     days = F.datediff(F.max("date"), F.min("date"))
-    growth = F.max_by("close", "date") / F.min_by("close", "date")
+    growth = ieee_div(F.max_by("close", "date"), F.min_by("close", "date"))
     return bars.groupBy("ticker").agg(
         F.when(days > 0, F.pow(growth, F.lit(365.0) / F.nullif(days, F.lit(0))) - 1).alias(
             "annualised_return"
@@ -243,17 +243,18 @@ def annualised_return(bars: DataFrame) -> DataFrame:
 def hold_return(bars: DataFrame) -> DataFrame:
     """Buy at the first open of the year, hold to its last close."""
     return bars.groupBy("ticker", F.year("date").alias("year")).agg(
-        (F.max_by("close", "date") / F.min_by("open", "date")).alias("hold_return")
+        ieee_div(F.max_by("close", "date"), F.min_by("open", "date")).alias("hold_return")
     )
 
 
 def best_per_month(bars: DataFrame) -> DataFrame:
     """The instrument with the highest return within each month; the lower key on a tie."""
     monthly = bars.groupBy(F.trunc("date", "month").alias("month"), "ticker").agg(
-        (F.max_by("close", "date") / F.min_by("open", "date")).alias("ret")
+        ieee_div(F.max_by("close", "date"), F.min_by("open", "date")).alias("ret")
     )
-    return monthly.groupBy("month").agg(
-        F.max_by(F.struct("ticker", "ret"), F.struct(F.col("ret"), -F.col("ticker"))).alias("b")
+    rated = monthly.where(F.col("ret").isNotNull() & ~F.isnan("ret"))
+    return rated.groupBy("month").agg(
+        F.min_by(F.struct("ticker", "ret"), F.struct(-F.col("ret"), F.col("ticker"))).alias("b")
     ).select("month", F.col("b.ticker").alias("ticker"), F.col("b.ret").alias("best_return"))
 
 
@@ -264,7 +265,7 @@ def index_series(bars: DataFrame) -> DataFrame:
 
 def with_index(bars: DataFrame, index: DataFrame) -> DataFrame:
     return bars.join(index, "date", "left").withColumn(
-        "rel_close", F.col("close") / F.col("index_close")
+        "rel_close", ieee_div(F.col("close"), F.col("index_close"))
     )
 
 

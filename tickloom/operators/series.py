@@ -7,6 +7,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.numeric import ieee_div
 from tickloom.plans.layout import BLOCK_ROWS, POSITION
 from tickloom.plans.scan import MAX, PRODUCT, Machine, follow, running
 from tickloom.session import use_checkpoints
@@ -240,7 +241,7 @@ def cumulative_return(trades: DataFrame, ratio: str = "exit_gain_loss") -> DataF
 def drawdown(bars: DataFrame, price: str = "close") -> DataFrame:
     """Price against its highest value so far, minus 1."""
     peak = running(bars, F.col(price), "peak", MAX)
-    return peak.withColumn("drawdown", F.col(price) / F.col("peak") - 1)
+    return peak.withColumn("drawdown", ieee_div(F.col(price), F.col("peak")) - 1)
 
 
 def positional_slice(indexed: DataFrame, start: int, stop: int, key: str = "ticker") -> DataFrame:

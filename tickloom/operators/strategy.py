@@ -67,6 +67,24 @@ def turns_flat(window: WindowSpec, column: str) -> Column:
     return F.when(stopped, 1).otherwise(0)
 
 
+def fingerprint(function: Callable) -> str:
+    """What a function does, as far as its code, defaults and enclosed values show it."""
+    inner = inspect.unwrap(function)
+    code = getattr(inner, "__code__", None)
+    enclosed = [repr(c.cell_contents) for c in getattr(inner, "__closure__", None) or ()]
+    parts = [inner.__module__, inner.__qualname__, str(inspect.signature(inner)), enclosed]
+    if code is not None:
+        constants = [c.co_code if inspect.iscode(c) else c for c in code.co_consts]
+        parts += [code.co_code.hex(), repr(constants), code.co_names]
+    return repr(parts)
+
+
+def takes_trade(cost: Callable[..., Column]) -> bool:
+    """Whether a cost function asks for the trade: a second argument without a default."""
+    second = list(inspect.signature(cost).parameters.values())[1:2]
+    return bool(second) and second[0].default is inspect.Parameter.empty
+
+
 def equal_share(strength: Column, total: Column, count: Column) -> Column:
     return 1 / count
 
@@ -76,19 +94,22 @@ def share_of_strength(strength: Column, total: Column, count: Column) -> Column:
     return F.try_divide(strength, total)
 
 
-def allocate(signals: DataFrame, share: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """Split each day's capital over its signals by their ``strength``.
+def allocate(
+    signals: DataFrame, share: Callable[[Column, Column, Column], Column], *keys: str
+) -> DataFrame:
+    """Split each day's capital (of each of ``keys``) over its signals by their ``strength``.
 
     Days are summed up first and joined back, so no task holds all signals of a day. The
     signals, few against the bars, are checkpointed, so that this does not find them twice.
     """
     use_checkpoints(signals.sparkSession)
     signals = signals.checkpoint()
-    days = signals.groupBy("date").agg(
+    day = [*keys, "date"]
+    days = signals.groupBy(*day).agg(
         F.sum("strength").alias("_total"), F.count("strength").alias("_count")
     )
     return (
-        signals.join(days, "date")
+        signals.join(days, day)
         .withColumn("allocation", share(F.col("strength"), F.col("_total"), F.col("_count")))
         .drop("_total", "_count")
     )
@@ -97,8 +118,8 @@ def allocate(signals: DataFrame, share: Callable[[Column, Column, Column], Colum
 class Backtest:
     """Collects bars, indicators, strategies and costs; nothing runs until the end.
 
-    Every call gives a uid made of the source columns, the function and its parameters.
-    Asking for the same thing again gives the same uid and adds no work.
+    Every call gives a uid made of the source columns, the function (its code and enclosed values,
+    not its name alone) and its parameters. Asking for the same thing again gives the same uid and adds no work.
     """
 
     def __init__(self, exit_rule: ExitRule = ExitRule()):
@@ -106,7 +127,7 @@ class Backtest:
         self.feeds: dict[str, DataFrame] = {}
         self.steps: dict[str, Step] = {}
         self.strategies: dict[str, tuple[str, str | None, Callable]] = {}
-        self.costs: list[Callable[[Column], Column]] = []
+        self.costs: list[tuple[Callable[..., Column], str | None]] = []
 
     def add_data(self, indexed: DataFrame, name: str = "bars") -> str:
         self.feeds[name] = indexed
@@ -114,8 +135,7 @@ class Backtest:
 
     def add_indicator(self, function: Callable[..., Column], inputs: Sequence[str], **params) -> str:
         """``inputs`` are bar columns or uids of other indicators."""
-        signature = f"{function.__module__}.{function.__qualname__}{inspect.signature(function)}"
-        uid = f"{function.__name__}_{identity(inputs, signature + '|' + ','.join(inputs), params)}"
+        uid = f"{function.__name__.strip('<>')}_{identity(inputs, fingerprint(function) + '|' + ','.join(inputs), params)}"
         if uid not in self.steps:
             needs = tuple(self.steps[i] for i in inputs if i in self.steps)
             self.steps[uid] = Step(
@@ -132,43 +152,66 @@ class Backtest:
         self, pulse: str, strength: str | None = None, allocation: Callable = equal_share
     ) -> str:
         """``pulse`` is the uid of a 0/1 indicator; ``strength`` another uid, or 1 throughout."""
-        uid = f"strategy_{identity([pulse, strength or ''], allocation.__qualname__, {})}"
+        uid = f"strategy_{identity([pulse, strength or ''], fingerprint(allocation), {})}"
         self.strategies[uid] = (pulse, strength, allocation)
         return uid
 
-    def add_broker(self, cost: Callable[[Column], Column]) -> None:
-        """``cost`` turns a trade's price ratio into the ratio after costs."""
-        self.costs.append(cost)
+    def add_broker(self, cost: Callable[..., Column], feed: str | None = None) -> None:
+        """``cost`` turns a trade's price ratio into the ratio after costs, on one feed or all.
+
+        A function of two arguments also gets the trade: its columns by name (ticker, date,
+        entry_date, entry_price, exit_date, exit_price, exit_reason, strength, days held).
+        """
+        self.costs.append((cost, feed))
 
     def frame(self, uids: Sequence[str], feed: str = "bars") -> DataFrame:
         """Bars with the columns of the given indicators."""
         return compute(self.feeds[feed], *[self.steps[u] for u in uids])
 
+    def signals(self, strategies: Sequence[str], feed: str = "bars") -> DataFrame:
+        """One row per signal and strategy with its outcome and net ratio; one pass over the bars."""
+        if not strategies:
+            raise ValueError("add a strategy first")
+        named = {uid: self.strategies[uid][:2] for uid in strategies}
+        wanted = {u: self.steps[u] for pair in named.values() for u in pair if u}
+        out = compute(self.feeds[feed], *wanted.values(), first_hit_exit(self.exit_rule))
+        given = [
+            F.when(
+                F.col(pulse) == 1,
+                F.struct(
+                    F.lit(uid).alias("strategy"),
+                    (F.abs(F.col(strength)) if strength else F.lit(1.0)).cast("double").alias("strength"),
+                ),
+            )
+            for uid, (pulse, strength) in named.items()
+        ]
+        out = out.withColumn("_given", F.explode(F.filter(F.array(*given), lambda g: g.isNotNull())))
+        columns = ["ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason"]
+        out = out.select(*columns, "exit_gain_loss", "_given.strength", "_given.strategy")
+        trade = {c: F.col(c) for c in (*columns, "strength")}
+        trade["days"] = F.datediff("exit_date", "entry_date")
+        net = F.col("exit_gain_loss")
+        for cost, only in self.costs:
+            if only in (None, feed):
+                more = (trade,) if takes_trade(cost) else ()
+                net = cost(net, *more)
+        return out.withColumn("net_ratio", net)
+
     def trades(self, strategy: str, feed: str = "bars") -> DataFrame:
         """One row per signal with its outcome, net ratio and share of the day's capital."""
-        pulse, strength, allocation = self.strategies[strategy]
-        wanted = [self.steps[u] for u in (pulse, strength) if u]
-        out = compute(self.feeds[feed], *wanted, first_hit_exit(self.exit_rule))
-        out = out.where(F.col(pulse) == 1)
-        net = F.col("exit_gain_loss")
-        for cost in self.costs:
-            net = cost(net)
-        out = out.select(
-            "ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price",
-            "exit_reason", "exit_gain_loss", net.alias("net_ratio"),
-            (F.abs(F.col(strength)) if strength else F.lit(1.0)).alias("strength"),
-        )
-        return allocate(out, allocation)
+        return allocate(self.signals([strategy], feed), self.strategies[strategy][2]).drop("strategy")
 
     def run(self, feed: str = "bars") -> DataFrame:
-        """The trades of all strategies."""
-        out: DataFrame | None = None
-        for uid in self.strategies:
-            one = self.trades(uid, feed).withColumn("strategy", F.lit(uid))
-            out = one if out is None else out.unionByName(one)
-        if out is None:
-            raise ValueError("add a strategy first")
-        return out
+        """The trades of all strategies, found in one pass over the bars."""
+        signals = self.signals(list(self.strategies), feed)
+
+        def share(strength: Column, total: Column, count: Column) -> Column:
+            own = F.lit(None).cast("double")
+            for uid, (_, _, allocation) in self.strategies.items():
+                own = F.when(F.col("strategy") == uid, allocation(strength, total, count)).otherwise(own)
+            return own
+
+        return allocate(signals, share, "strategy")
 
     def performance(self, trades: DataFrame) -> DataFrame:
         """Yearly figures of a run, after costs."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,6 +36,15 @@ def typical_price() -> Column:
     return (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
 
 
+def exit_place(path: Column, close: Callable[[Column], Column], entry: Column, rule: ExitRule) -> dict[str, Column]:
+    """Where in a path of bars the gain and the loss are first reached, and the last place to hold to."""
+    return {
+        "gain": first_place(path, lambda b: ieee_div(close(b), entry) > rule.gain),
+        "loss": first_place(path, lambda b: ieee_div(close(b), entry) < rule.loss),
+        "hold": F.when(F.size(path) > rule.hold, F.lit(rule.hold)).cast("bigint"),
+    }
+
+
 def first_hit_exit(rule: ExitRule = ExitRule()) -> Step:
     """Enter at the next bar's typical price; leave one bar after the first exit condition.
 
@@ -53,13 +63,12 @@ def first_hit_exit(rule: ExitRule = ExitRule()) -> Step:
             {"_path": F.when(F.size("_path") == bars, path)},
             {"entry_price": F.get(path, F.lit(0))["x"], "entry_date": F.get(path, F.lit(0))["d"]},
             {
-                "_gain_at": first_place(path, lambda b: b["c"] / entry > rule.gain),
-                "_loss_at": first_place(path, lambda b: b["c"] / entry < rule.loss),
+                f"_{what}_at": found
+                for what, found in exit_place(path, lambda b: b["c"], entry, rule).items()
             },
             {
                 "exit_point": F.when(
-                    path.isNotNull(),
-                    F.least("_gain_at", "_loss_at", F.lit(rule.hold).cast("bigint")) + 1,
+                    path.isNotNull(), F.least("_gain_at", "_loss_at", "_hold_at") + 1
                 )
             },
             {
@@ -70,7 +79,7 @@ def first_hit_exit(rule: ExitRule = ExitRule()) -> Step:
                 .when(F.col("_loss_at") + 1 == place, "loss")
                 .otherwise("period"),
             },
-            {"exit_gain_loss": F.col("exit_price") / entry},
+            {"exit_gain_loss": ieee_div(F.col("exit_price"), entry)},
         ]
 
     return Step(f"first_hit_exit:{rule}", pieces, ahead=bars)
@@ -100,24 +109,19 @@ def exit_from_signal_bar(rule: ExitRule, tag: str = "") -> Step:
     closes, middles = f"_closes{tag}", f"_middles{tag}"
 
     def pieces(w):
-        ended = F.transform(
-            F.col(closes),
-            lambda x, i: F.when(
-                (x / entry > rule.gain) | (x / entry < rule.loss) | (i == rule.hold), 1
-            ),
-        )
-        place = F.nullif(F.array_position(ended, F.lit(1)), F.lit(0).cast("bigint"))
+        hits = exit_place(F.col(closes), lambda close: close, entry, rule)
         return [
             {
                 "slip_price": (F.col("high") + F.col("low")) / 2,
                 closes: F.collect_list("close").over(w.rowsBetween(0, rule.hold + 1)),
             },
             {
-                index: place + 1,
+                # without an entry price only the end of the holding period counts
+                index: F.least(*hits.values()) + 2,
                 middles: F.collect_list("slip_price").over(w.rowsBetween(0, rule.hold + 3)),
             },
             {slip: F.get(F.col(middles), F.col(index).cast("int"))},
-            {ratio: F.col(slip) / entry - COMMISSION},
+            {ratio: net_ratio(ieee_div(F.col(slip), entry))},
         ]
 
     return Step(
@@ -137,7 +141,7 @@ def past_success(
     def pieces(w):
         return [
             *counted({success: won, fail: lost}, first, last, w, "past"),
-            {f"previous_exit_result_ratio{tag}": F.col(success) / (F.col(fail) + 1)},
+            {f"previous_exit_result_ratio{tag}": ieee_div(F.col(success).cast("double"), F.col(fail) + 1)},
         ]
 
     return Step(f"past_success:{ratio}:{threshold}:{first}:{last}:{tag}", pieces, needs, back=first + 1)

@@ -66,7 +66,7 @@ def spread(
     return indexed.withColumn(_BLOCK, F.explode(blocks)).withColumns(
         {
             _CORE: idiv(F.col(POSITION) - 1, block) == F.col(_BLOCK),
-            _OFFSET: F.col(POSITION) - 1 - F.col(_BLOCK) * block + back,
+            _OFFSET: F.col(POSITION) - 1 - F.col(_BLOCK) * block,
         }
     )
 
@@ -82,7 +82,7 @@ def settle(spread_rows: DataFrame) -> DataFrame:
 
 
 def offset() -> Column:
-    """Row number inside the block, copies included; 0 for the first possible copy."""
+    """Row number inside the block, 0 for its first own bar; copies of earlier bars are below 0."""
     return F.col(_OFFSET)
 
 

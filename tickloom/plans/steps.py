@@ -20,7 +20,8 @@ class Step:
 
     ``layers(window)`` gives groups of columns; a group may read the columns of the
     groups and steps before it. ``back`` and ``ahead`` say how many bars before and
-    after the current one the step reads. ``span`` bounds the rows a block may have.
+    after the current one the step reads. ``span`` bounds the rows from the first own row of a
+    block to the last copy after it.
     """
 
     name: str
@@ -76,16 +77,18 @@ def side_by_side(steps: Sequence[Step], window: WindowSpec) -> Iterator[dict[str
 
 def compute(
     indexed: DataFrame, *steps: Step, select: Sequence[str | Column] | None = None,
-    block: int = BLOCK_ROWS,
+    block: int | None = None,
 ) -> DataFrame:
-    """Add the columns of ``steps`` to indexed bars, with one exchange for all of them."""
+    """Add the columns of ``steps`` to indexed bars, with one exchange for all of them.
+
+    A block has twice as many bars as it needs copies, so that these stay below half of the rows, unless
+    the weights of a steep average end it sooner. No result depends on the size of the blocks.
+    """
     todo = in_order(steps)
     back = max((s.reach_back() for s in todo), default=0)
     ahead = max((s.reach_ahead() for s in todo), default=0)
-    spans = [s.span - back - ahead for s in todo if s.span]
-    block = min([block, *spans])
-    if block < 1:
-        raise ValueError("look-back too long for so strong a decay; compute it in two passes")
+    spans = [max(1, s.span - ahead) for s in todo if s.span]
+    block = min([block or max(BLOCK_ROWS, 2 * (back + ahead)), *spans])
     out = spread(indexed, back, ahead, block)
     window = block_window()
     for layer in side_by_side(todo, window):

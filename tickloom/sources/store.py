@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import zlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,14 @@ def scratch(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, *parts)
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path that no other call gets, so that frames read from it stay readable."""
+    return scratch(spark, name, uuid.uuid4().hex)
+
+
 def tag(source: str) -> str:
     """A short name for an input folder."""
-    return f"{zlib.crc32(source.encode()):08x}"
+    return hashlib.sha256(source.encode()).hexdigest()[:24]
 
 
 def layer(
