@@ -83,3 +83,25 @@ def test_a_second_run_takes_only_what_is_new(spark, tmp_path):
     sb.run_to_parquet(stream, out, checkpoint)
     got = sb.read_batches(spark, out, stream.schema).collect()
     assert [(str(r.date), r.close) for r in got] == [("2024-01-01", 1.0)]
+
+
+def test_repeated_and_late_bars(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    schema = "ticker string, date date, open double, high double, low double, close double, volume double"
+
+    def put(*days):
+        rows = [("a", day, 1.0, 1.0, 1.0, float(n), 1.0) for n, day in days]
+        df = spark.createDataFrame(rows, schema.replace("date date", "date string")).withColumn("date", F.col("date").cast("date"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+
+    put((1, "2024-01-01"), (2, "2024-01-03"))
+    put((9, "2024-01-02"), (3, "2024-01-04"))
+    source = sb.parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    _, got = run(spark, si.ewm_stream(source), tmp_path, "late")
+    assert [(str(r["date"]), r["late"]) for r in got.orderBy("date").collect()] == [
+        ("2024-01-01", 0), ("2024-01-03", 0), ("2024-01-04", 1)
+    ]
+    put((5, "2024-01-09"), (6, "2024-01-09"))
+    with pytest.raises(Exception, match="unique"):
+        run(spark, si.ewm_stream(source), tmp_path, "twice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
@@ -67,6 +67,22 @@ def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, sb.tumbling_bars(tick_stream(spark, folder)), "bars")
 
 
+@query(
+    "stream_bars_hourly",
+    """
+    SELECT * FROM (
+      SELECT event_type AS ticker, date_trunc('hour', ts) AS date,
+             arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+             arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+      FROM events GROUP BY 1, 2)
+    WHERE date + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
+    """,
+)
+def stream_bars_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars finer than a day keep the time at which they start."""
+    return stored(spark, sb.tumbling_bars(tick_stream(spark, folder), width="1 hour"), "hourly")
+
+
 @query(
     "stream_sliding_min",
     """
@@ -218,3 +234,45 @@ def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "year", "opportunities", "success", "fail", v.r("success_fail_ratio"), v.r("avg_return_rate")
     )
+
+
+def days_cost(ratio: Column, trade: dict[str, Column]) -> Column:
+    """What the money costs for the days a trade is open."""
+    return ratio - (tr.funding_factor(trade["days"]) - 1)
+
+
+FALL = """
+    SELECT ticker, date, entry_date, exit_date, exit_gain_loss, '{0}' AS strategy FROM test_{0}_outcomes WHERE signal = 1
+"""
+for _name, _bars in (("slow", 130), ("quick", 20)):
+    view(f"test_{_name}", "idx", FLAT.replace(last_rows(130), last_rows(_bars)))
+    view(f"test_{_name}_outcomes", f"test_{_name}", EXITS.format(f"test_{_name}"))
+
+
+@query(
+    "backtest_two_strategies",
+    sql(
+        f"""
+        SELECT strategy, ticker, date, {r('net')} AS net_ratio, {r('1.0 / count(*) OVER (PARTITION BY strategy, date)')} AS allocation
+        FROM (SELECT *, exit_gain_loss - 0.002 - (pow(1 + 0.05 / 365, datediff('day', entry_date, exit_date)) - 1) AS net
+              FROM ({FALL.format('slow')} UNION ALL {FALL.format('quick')}))
+        """,
+        "test_slow_outcomes", "test_quick_outcomes",
+    ),
+)
+def backtest_two_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    """Two floors of one smoothed close, with commission and the cost of the days held."""
+    test = st.Backtest()
+    test.add_data(v.bars(spark, folder))
+    smooth = test.add_indicator(st.ewm_mean, ["close"], com=13)
+    names = {}
+    for name, count in (("slow", 130), ("quick", 20)):
+        fall = test.add_indicator(st.change, [test.add_indicator(st.rolling_min, [smooth], count=count)])
+        names[test.add_strategy(test.add_indicator(st.turns_flat, [fall]))] = name
+    test.add_broker(tr.net_ratio)
+    test.add_broker(days_cost)
+    out = test.run()
+    label = F.lit(None).cast("string")
+    for uid, name in names.items():
+        label = F.when(F.col("strategy") == uid, name).otherwise(label)
+    return out.select(label.alias("strategy"), "ticker", "date", v.r("net_ratio"), v.r("allocation"))

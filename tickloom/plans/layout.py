@@ -32,10 +32,12 @@ def index_bars(
     """Add ``bar_index``: 1, 2, ... per instrument in time order.
 
     ``span`` maps the time to a coarse, order-keeping bucket of bounded size; for
-    daily bars that is a run of days. Two bars with the same (key, time) are an error.
+    daily bars that is a run of days, for bars with a time of day a single day. Two bars
+    with the same (key, time) are an error.
     """
     if span is None:
-        span = F.floor(F.unix_date(F.col(time)) / SPAN_DAYS)
+        daily = bars.schema[time].dataType.typeName() == "date"
+        span = F.floor(F.unix_date(F.col(time).cast("date")) / (SPAN_DAYS if daily else 1))
     cut = bars.withColumn("_span", span)
     counts = cut.groupBy(key, "_span").agg(F.count(F.lit(1)).alias("_bars"))
     along = Window.partitionBy(key).orderBy("_span")
