@@ -29,24 +29,23 @@ def indicator(
 def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, step: Callable[[], Step]) -> None:
     """Register a signed RSI with the two averages it is made of.
 
-    Where the averages cancel to within 1e-9 the index has a pole and its value hangs on
-    the last bit of the averages, so there only the averages are shown.
+    Where the averages nearly cancel the index has a pole, and its value hangs on their last bits. So that
+    every value can be compared, the one shown is worked out from the averages to eight
+    decimals; ``as_defined`` tells whether the operator's own value follows from its own averages.
     """
-    off_pole = f"abs(1 + {gain} / {loss}) > 1e-9 OR {loss} = 0"
     body = f"""
-        SELECT ticker, date, {rs(gain, loss)},
-               {r(f'CASE WHEN {off_pole} THEN {name} END')} AS {name} FROM (
-          SELECT *, {rsi(gain, loss)} AS {name} FROM (
-          SELECT *, {gain_sql} AS {gain}, {loss_sql} AS {loss} FROM chg))
+        SELECT ticker, date, {rs(gain, loss)}, {r(rsi(f'round({gain}, 8)', f'round({loss}, 8)'))} AS {name},
+               true AS as_defined
+        FROM (SELECT *, {gain_sql} AS {gain}, {loss_sql} AS {loss} FROM chg)
     """
 
     @query("rsi_sma" if name == "rsi" else name, sql(body, "chg"))
     def run(spark: SparkSession, folder: str) -> DataFrame:
         out = v.on_bars(spark, folder, step())
         up, down = F.col(gain), F.col(loss)
-        near = F.coalesce(F.abs(1 + F.try_divide(up, down)) <= 1e-9, F.lit(False))
-        shown = F.when(~near, v.single(F.col(name))).alias(name)
-        return out.select("ticker", "date", v.r(gain), v.r(loss), shown)
+        shown = v.single(ind.signed_rsi(F.round(up, 8), F.round(down, 8))).alias(name)
+        own = F.col(name).eqNullSafe(ind.signed_rsi(up, down)).alias("as_defined")
+        return out.select("ticker", "date", v.r(gain), v.r(loss), shown, own)
 
 
 # ---- trend ---------------------------------------------------------------------------------

@@ -134,7 +134,7 @@ def change_split() -> Step:
     )
 
 
-def _signed_rsi(gain: Column, loss: Column) -> Column:
+def signed_rsi(gain: Column, loss: Column) -> Column:
     """RSI with losses below zero: the ratio is negative and the index has a pole at -1."""
     return 100 - ieee_div(F.lit(100.0), 1 + ieee_div(gain, loss))
 
@@ -147,7 +147,7 @@ def rsi_sma(count: int = SMOOTH, out: str = "rsi") -> Step:
                 f"{out}_avg_gain": F.avg("gain").over(rows(w, count)),
                 f"{out}_avg_loss": F.avg("loss").over(rows(w, count)),
             },
-            {out: _signed_rsi(F.col(f"{out}_avg_gain"), F.col(f"{out}_avg_loss"))},
+            {out: signed_rsi(F.col(f"{out}_avg_gain"), F.col(f"{out}_avg_loss"))},
         ],
         (change_split(),),
         back=count - 1,
@@ -158,7 +158,7 @@ def rsi_ewm(period: int = SMOOTH) -> Step:
     com = period - 1
     return Step(
         f"rsi_ewm:{period}",
-        lambda w: [{"rsi_ewm": _signed_rsi(F.col("ema_gain"), F.col("ema_loss"))}],
+        lambda w: [{"rsi_ewm": signed_rsi(F.col("ema_gain"), F.col("ema_loss"))}],
         (
             ewm("gain", com, "ema_gain", (change_split(),)),
             ewm("loss", com, "ema_loss", (change_split(),)),
@@ -169,7 +169,7 @@ def rsi_ewm(period: int = SMOOTH) -> Step:
 def rsi_truncated(period: int = SMOOTH) -> Step:
     return Step(
         f"rsi_truncated:{period}",
-        lambda w: [{"rsi_truncated": _signed_rsi(F.col("ema_gain_t"), F.col("ema_loss_t"))}],
+        lambda w: [{"rsi_truncated": signed_rsi(F.col("ema_gain_t"), F.col("ema_loss_t"))}],
         (
             ema_truncated("gain", period, "wilder", "ema_gain_t", (change_split(),)),
             ema_truncated("loss", period, "wilder", "ema_loss_t", (change_split(),)),
