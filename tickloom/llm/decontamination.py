@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import stored, text_key
+from tickloom.llm.shared import stored, text_key, workspace
 from tickloom.llm.words import PLAIN, mix, slices, split
 
 #: Bytes of text in a shard, unless one text alone is longer.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Phrases sent to the tasks at a time; each has at most ``window`` terms of 8 bytes.
 BLOCK = 200_000
 
@@ -268,6 +268,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slack: in
     ids, sorted as strings), contaminated. Items without id count as one item, listed as an empty
     string; of items that share an id, all windows count. Empty tables give no rows or no hits.
     """
+    with workspace(docs.sparkSession):
+        return stored(_contamination(docs, items, window, slack), "contamination", keep=True)
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int, slack: int) -> DataFrame:
     index = build_index(docs.select("doc_id", "text"))
     phrases = stored(phrases_of(items.select("item_id", "text"), window), "windows")
     found = occurrences(index, phrases, slack)
