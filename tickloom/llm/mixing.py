@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import stored, text_key
+from tickloom.llm.shared import stored, text_key, workspace
 
 #: Documents that meet in one bucket.
 FAN = 64
@@ -113,6 +113,11 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     taken as often as the whole part of their source's rate. Null is a source of its own.
     Repeated rows are drawn one by one. An empty table gives no rows; without any word every target is 0.
     """
+    with workspace(docs.sparkSession):
+        return stored(_copies(docs, weights, share, most), "copies", keep=True)
+
+
+def _copies(docs: DataFrame, weights, share: float, most: float) -> DataFrame:
     key = text_key(F.col("text"))
     sized = docs.select(
         F.col("doc_id").cast("bigint"), key.high.alias("high"), key.low.alias("low"), "source", word_count(F.col("text")).alias("size")
@@ -185,26 +190,19 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Rows that agree in doc_id, source and text count as one with all their copies; their other
     columns are those of one of them.
     """
-    key = text_key(F.col("text"))
-    taken = (
-        copies(docs, **how)
-        .where("copies > 0")
-        .groupBy("doc_id", "high", "low", "source")
-        .agg(F.sum("copies").cast("int").alias("copies"))
-    )
-    taken = taken.select(*(F.col(c).alias(f"mix_{c}") for c in taken.columns))
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
-        "row",
-        F.col("row.doc_id").cast("bigint").alias("i"),
-        text_key(F.col("row.text")).alias("k"),
-        F.col("row.source").alias("s"),
-    )
-    one = given.groupBy("i", "k", "s").agg(F.first("row").alias("row"))
-    same = (
-        F.col("i").eqNullSafe(F.col("mix_doc_id"))
-        & (F.col("k.high") == F.col("mix_high"))
-        & (F.col("k.low") == F.col("mix_low"))
-        & F.col("s").eqNullSafe(F.col("mix_source"))
-    )
-    repeated = one.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    identity = ["id_null", "id", "source_null", "name", "high", "low"]
+
+    def named(doc_id: Column, source: Column, high: Column, low: Column) -> list[Column]:
+        doc_id, none, empty = doc_id.cast("bigint"), F.lit(0), F.lit("")
+        columns = [doc_id.isNull(), F.coalesce(doc_id, none), source.isNull(), F.coalesce(source, empty), high, low]
+        return [c.alias(n) for c, n in zip(columns, identity)]
+
+    taken = copies(docs, **how).where("copies > 0")
+    taken = taken.select("copies", *named(*(F.col(c) for c in ("doc_id", "source", "high", "low"))))
+    taken = taken.groupBy(*identity).agg(F.sum("copies").cast("int").alias("copies"))
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    given = given.select("row", text_key(F.col("row.text")).alias("k"))
+    given = given.select("row", *named(F.col("row.doc_id"), F.col("row.source"), F.col("k.high"), F.col("k.low")))
+    one = given.groupBy(*identity).agg(F.first("row").alias("row"))
+    repeated = one.join(taken, identity).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickloom.llm.shared import stored
+from tickloom.llm.shared import stored, workspace
 from tickloom.llm.words import PLAIN, Words, mix, slices, split
 
 SAMPLE = 12_000
@@ -147,13 +147,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample = marked.orderBy("place", "marked").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("marked"), "text")
     rows = (
-        texts.join(sample, "marked")
+        texts.join(F.broadcast(sample), "marked")  # at most SAMPLE rows of three numbers
         .select("place", "toxic", "text")
         .mapInArrow(_feature_sets, "place bigint, toxic int, features array<int>")
     )
-    rows = stored(rows, "toxic-sets")
-    # the weights that are not zero, of at most SAMPLE texts
-    learned = rows.groupBy().applyInArrow(_learn, "feature int, weight double").toArrow().sort_by("feature")
+    with workspace(docs.sparkSession):
+        rows = stored(rows, "toxic-sets")
+        # the weights that are not zero, of at most SAMPLE texts
+        learned = rows.groupBy().applyInArrow(_learn, "feature int, weight double").toArrow().sort_by("feature")
     feature, weight = (learned[c].to_numpy() for c in ("feature", "weight"))
     if not len(feature):
         return ToxicityModel(feature, weight, 0.0)
