@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, mixing, token_files, toxicity
 from tickloom.llm.near_duplicates import near_duplicates
-from tickloom.llm.shared import matching, stored
+from tickloom.llm.shared import matching, stored, workspace
 from tickloom.sources.store import table
 
 
@@ -68,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each is written as Parquet and read as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with workspace(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs

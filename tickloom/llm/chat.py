@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import stored
+from tickloom.llm.shared import stored, workspace
 from tickloom.llm.token_files import tokenizer
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "<<SYS>>", "<</SYS>>")
@@ -155,6 +155,11 @@ def build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]
     text and role are empty. Rows without conv_id form one conversation. An empty table gives an
     empty tree. ``vocabulary`` is the path of a byte-level tokenizers file, so that decoding gives the text back.
     """
+    with workspace(turns.sparkSession):
+        return _build_tree(turns, vocabulary)
+
+
+def _build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     # the turns of one conversation
     talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -164,6 +169,7 @@ def build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]
             "conv_id bigint, conv binary, depth int, turns int, key binary, parent binary, role string, text string",
         ),
         "chains",
+        keep=True,
     )
     nodes = chains.groupBy("key").agg(
         *(F.first(c).alias(c) for c in ("parent", "role", "text")),
@@ -235,7 +241,7 @@ def build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]
         .join(nodes.select("key", "parent"), "key")
         .select("shard", "start", "key", "parent", "depth", "position", "ids", "loss", joined.alias("attends"))
     )
-    return stored(tree, "tree"), members
+    return stored(tree, "tree", keep=True), members
 
 
 def _read(vocabulary: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import stored
+from tickloom.llm.shared import stored, workspace
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -39,6 +39,11 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain; each round is written to the
     shared folder, and only a count and a checksum reach the driver.
     """
+    with workspace(links.sparkSession):
+        return stored(_components(links), "components", keep=True)
+
+
+def _components(links: DataFrame) -> DataFrame:
     links = links.where("a is not null and b is not null").select("a", "b")
     links = stored(links, "links")
     edges = links.where("a <> b").distinct()

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import stored
 from tickloom.llm.toxicity import held_out
 from tickloom.llm.words import FOLD, _bytes, slices
 
@@ -126,7 +125,7 @@ def train(docs: DataFrame) -> LanguageModel:
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     sums = rows.select("text", "lang").mapInArrow(_sums, "lang string, bucket int, total double")
     # one number per language and bucket
-    sums = stored(sums.groupBy("lang", "bucket").agg(F.sum("total").alias("total")), "frequencies").toArrow()
+    sums = sums.groupBy("lang", "bucket").agg(F.sum("total").alias("total")).toArrow()
     langs, buckets, totals = (sums[c].to_numpy() for c in ("lang", "bucket", "total"))
     names = sorted(set(langs))
     number = np.searchsorted(np.array(names, object), langs) if names else np.zeros(0, int)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import stored, text_key
+from tickloom.llm.shared import stored, text_key, workspace
 from tickloom.llm.words import BLANK, grams, slices, split
 
 RETAINED = 32
@@ -301,6 +301,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     names a component unless no member has a doc_id, and then component_id is null and kept false.
     Repeated rows appear as often as they come. An empty table gives an empty result.
     """
+    with workspace(docs.sparkSession):
+        grouped = stored(_grouped(docs, words, percent), "grouped", keep=True)
+    smallest = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    return grouped.join(smallest, "label", "left").select(
+        "doc_id",
+        "high",
+        "low",
+        F.col("n").cast("bigint").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.col("label").alias("group"),
+    )
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, high, low, n, node and label (the same for all of a component) of each row."""
     given = docs.select(F.col("doc_id").cast("bigint"), "text").select(
         "doc_id", "text", text_key(F.col("text")).alias("k")
     )
@@ -345,7 +362,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         }
     )
     links = verified(found(first, True))
-    early = stored(components(links), "early")
+    early = components(links)
 
     open_lists = (
         listed.join(early.withColumnRenamed("label", "known"), "node", "left")
@@ -378,24 +395,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .join(named.withColumnRenamed("node", "b"), "b", "left")
         .select(F.col("x").alias("a"), F.coalesce("group", "b").alias("b"))
     )
-    merged = stored(components(late), "merged")
+    merged = components(late)
     label = (
         early.join(merged.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
         .select("node", F.coalesce("final", "label").alias("label"))
         .unionByName(merged.join(early, "node", "left_anti"))
     )
-    grouped = prints.drop("retained", "sketch").join(label, "node", "left").withColumn(
+    return prints.drop("retained", "sketch").join(label, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
-    grouped = stored(grouped, "grouped")
-    smallest = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return grouped.join(smallest, "label", "left").select(
-        "doc_id",
-        "high",
-        "low",
-        F.col("n").cast("bigint").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        F.col("label").alias("group"),
-    )

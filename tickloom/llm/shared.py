@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch(spark, "llm", f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables of each open workspace, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those that are kept.
+
+    What is returned from a workspace may only read kept tables. A kept table of an inner
+    workspace belongs to the one around it.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it from there. Cuts the lineage."""
     path = new_path(df.sparkSession, name)
+    owner = _OPEN[: -1 if keep else None]
+    if owner:
+        owner[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

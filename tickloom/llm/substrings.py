@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.fm_index import DEPTH, FMIndex
-from tickloom.llm.shared import stored
+from tickloom.llm.shared import stored, workspace
 from tickloom.llm.words import BLANK, Words, mix, slices, split
 
 GRAM, LONG = 20, 36
@@ -277,6 +277,11 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc, text_id, start, found): ``found`` windows from word ``start`` on also start in a smaller doc."""
     if not LONG < window < DEPTH:
         raise ValueError(f"a window has {LONG + 1} to {DEPTH - 1} words")
+    with workspace(docs.sparkSession):
+        return stored(_repeated_spans(docs, window), "spans", keep=True)
+
+
+def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     rows = docs.select("doc", "text_id", "text")
     runs = rows.mapInArrow(_runs(window), _RUNS)
     shared = (
