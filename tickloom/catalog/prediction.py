@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
 from tickloom.catalog.registry import query
-from tickloom.catalog.sql import r, rs, sql
+from tickloom.catalog.sql import r, rs, sql, view
+from tickloom.catalog.tables import COMPLETE
 from tickloom.operators import features as feat
 from tickloom.operators import metrics as met
 from tickloom.operators import models
@@ -158,6 +159,35 @@ def split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return feat.with_split(feat.complete(v.features(spark, folder)), v.SPLIT)
 
 
+view("complete", "features", f"SELECT * FROM features WHERE {COMPLETE}")
+for _split in ("validate", "test"):
+    _years = ", ".join(map(str, v.SPLIT[_split]))
+    _train = ", ".join(map(str, v.SPLIT["train"]))
+    view(
+        f"preds_{_split}", "complete",
+        f"""
+        SELECT date, target AS y_true, (SELECT avg(target) FROM complete WHERE year(date) IN ({_train})) AS y_pred
+        FROM complete WHERE year(date) IN ({_years})
+        """,
+    )
+
+
+@query(
+    "dt_depth0",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{s}' AS split, metric, value FROM ({GRID.replace('preds', f'preds_{s}')})" for s in ("validate", "test")
+        ),
+        "preds_validate", "preds_test",
+    ),
+)
+def dt_depth0(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree without a split predicts the mean of the training target: all scores can be compared."""
+    rows = split_rows(spark, folder)
+    model = models.fit(rows.where("split = 'train'"), "decision_tree", {"max_depth": 0})
+    return models.scores(model, rows.where("split <> 'train'")).select("split", "metric", v.r("value"))
+
+
 def model_scores(key: str, kind: str, **params: int) -> None:
     @query(key)
     def run(spark: SparkSession, folder: str) -> DataFrame:

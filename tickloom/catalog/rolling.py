@@ -16,16 +16,13 @@ from tickloom.operators import trades as tr
 from tickloom.plans.layout import index_bars, rows
 from tickloom.plans.scan import SUM, running
 from tickloom.plans.steps import Step
-from tickloom.sources import bars as src
-from tickloom.sources.store import table
 
 # ---- ranks, shifts, frames -----------------------------------------------------------------
 
 
 @query("bar_index", sql("SELECT ticker, date, bar_index FROM idx", "idx"))
 def bar_index(spark: SparkSession, folder: str) -> DataFrame:
-    bars = src.shipment_bars(table(spark, folder, "lineitem"))
-    return index_bars(bars).select("ticker", "date", "bar_index")
+    return index_bars(v.plain_bars(spark, folder)).select("ticker", "date", "bar_index")
 
 
 @query(

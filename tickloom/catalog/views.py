@@ -20,18 +20,14 @@ LAST_YEAR, ENOUGH, HISTORY = 1998, 1, 2
 SINCE = "1998-01-01"
 
 
-def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered daily bars, written once per application and read by every query.
-
-    The bars are written before they are numbered, since numbering reads them twice.
-    """
+def plain_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily bars, written before they are numbered, since numbering reads them twice."""
+    return layer(spark, folder, "plain_bars", lambda: src.shipment_bars(table(spark, folder, "lineitem")))
 
-    def plain() -> DataFrame:
-        return src.shipment_bars(table(spark, folder, "lineitem"))
 
-    return layer(
-        spark, folder, "bars", lambda: index_bars(layer(spark, folder, "plain_bars", plain))
-    )
+def bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered daily bars, written once per application and read by every query."""
+    return layer(spark, folder, "bars", lambda: index_bars(plain_bars(spark, folder)))
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import idiv
 from tickloom.plans.layout import BLOCK_ROWS, POSITION
+from tickloom.sources.store import kept
 
 RANK_BUCKETS = 256
 
@@ -81,12 +82,12 @@ def dense_rank_by(
 ) -> DataFrame:
     """Dense rank of ``value`` within ``keys`` (or over everything), NULL for NULL.
 
-    Only distinct values are ranked. They are cut at approximate quantiles into buckets
+    Only distinct values are ranked; they are written down first, since they are read three times. They are cut at approximate quantiles into buckets
     that keep the order, so that a key's values are numbered by many tasks; the ranks are
     exact wherever the cuts fall.
     """
     keys = list(keys)
-    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    distinct = kept(df.where(F.col(value).isNotNull()).select(*keys, value).distinct(), "distinct")
     cuts = [i / buckets for i in range(1, buckets)]
     splits = distinct.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, cuts, 1000)).alias("_splits")

@@ -56,6 +56,13 @@ def layer(
     return spark.read.schema(_WRITTEN[key]).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that is read several times to the shared folder, and read it from there."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
