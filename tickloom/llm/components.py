@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import stored, workspace
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Join the neighbours of each number to the smallest one among them and itself.
 
@@ -37,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends are left out, a link of a number to itself gives it a row. The number of
     rounds grows with the logarithm of the longest chain; each round is written to the
-    shared folder, and only a count and a checksum reach the driver.
+    shared folder, and only whether it was the last reaches the driver.
     """
     with workspace(links.sparkSession):
         return stored(_components(links), "components", keep=True)
@@ -47,13 +42,11 @@ def _components(links: DataFrame) -> DataFrame:
     links = links.where("a is not null and b is not null").select("a", "b")
     links = stored(links, "links")
     edges = links.where("a <> b").distinct()
-    last = None
     while True:
         edges = stored(_star(_star(edges, True), False), "stars")
-        mark = _mark(edges)
-        if mark == last:
+        # done when no number that others point to points to another itself
+        if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        last = mark
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return (
