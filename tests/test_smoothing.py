@@ -161,3 +161,18 @@ def test_division(spark):
     assert got[3:] == [2.0, None, None]
     nans = spark.createDataFrame([(math.nan,), (2.0,), (None,)], "x double")
     assert [r[0] for r in nans.select(nan_to(F.col("x"), 0.0)).collect()] == [0.0, 2.0, None]
+
+
+@pytest.mark.parametrize("com", [0.1, 1])
+def test_steep_averages_under_long_look_backs(spark, com):
+    """What looks back at a steep average gets right values, however far that is."""
+    x = walk(6000, 8)
+    bars = series(spark, [(1, i, float(v)) for i, v in enumerate(x)])
+    mean = ind.ewm("close", com, "e")
+    low = Step("low", lambda w: [{"low": F.min("e").over(w.rowsBetween(-1999, 0))}], (mean,), back=1999)
+    other = ind.ewm("close", 25, "slow")
+    out = compute(bars, low, other, block=700).orderBy("bar_index").toPandas()
+    want = pd.Series(x).ewm(com=com).mean()
+    np.testing.assert_allclose(out["e"], want, rtol=1e-9)
+    np.testing.assert_allclose(out["low"], want.rolling(2000, min_periods=1).min(), rtol=1e-9)
+    np.testing.assert_allclose(out["slow"], pd.Series(x).ewm(com=25).mean(), rtol=1e-9)

@@ -54,7 +54,7 @@ def ewm_reach(com: float) -> int:
 
 
 def ewm_span(com: float) -> int | None:
-    """Own and following rows a block may have before the growing weights overflow."""
+    """Rows from the first whose result is used to the last copy, before the growing weights overflow."""
     return int(2 * LARGEST_EXPONENT / log_growth(com)) if com > 0 else None
 
 
@@ -67,7 +67,7 @@ def finite(value: Column) -> Column:
 def growing(growth: float) -> Column:
     """Weights growing along the block by exp(growth) a row, the same whatever copies a block has.
 
-    They start low in the block's first own row. Copies further back than counts get weights near or at zero.
+    They start low in the first row whose result is used. Rows further back have weights near or at zero.
     """
     return F.exp(offset().cast("double") * F.lit(growth) - F.lit(LARGEST_EXPONENT))
 
@@ -88,7 +88,7 @@ def ewm(value: Column, com: float, window: WindowSpec) -> Column:
     there = finite(value).isNotNull()
     if com == 0:
         return F.when(there, value)
-    mean = ewm_sum(value, com, window) / ewm_sum(F.when(there, F.lit(1.0)), com, window)
+    mean = F.try_divide(ewm_sum(value, com, window), ewm_sum(F.when(there, F.lit(1.0)), com, window))
     return F.when(there, mean)
 
 
@@ -111,7 +111,7 @@ def truncated_ema(
 
 
 def truncated_span(period: int, kind: str) -> int:
-    """Own and following rows a block may have before the weights of ``truncated_layers`` overflow."""
+    """The same for ``truncated_layers``."""
     return int(2 * LARGEST_EXPONENT / -math.log(Smoothing.of(period, kind).decay))
 
 
@@ -141,7 +141,7 @@ def truncated_layers(
         return F.col(name(part)) - F.coalesce(before, F.lit(0))
 
     newer = F.col(name("sum")) - F.coalesce(F.col(name("left")), F.lit(0.0))
-    mean = newer / weight * s.weight + F.col(name("oldest")) * (s.decay**back)
+    mean = F.try_divide(newer, weight) * s.weight + F.col(name("oldest")) * (s.decay**back)
     nans, ups, downs = (F.col(name(f"{p}_in")) for p in ("nans", "ups", "downs"))
     return [
         {

@@ -14,6 +14,9 @@ along the few spans of a ticker, and bars are numbered inside each span.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -83,9 +86,22 @@ def settle(spread_rows: DataFrame) -> DataFrame:
     return spread_rows.where(F.col(_CORE)).drop(_BLOCK, _CORE, _OFFSET)
 
 
+_LEAD = [0]
+
+
+@contextmanager
+def leading(rows: int) -> Iterator[None]:
+    """Columns made inside are used from so many rows before a block's own rows on."""
+    _LEAD.append(rows)
+    try:
+        yield
+    finally:
+        _LEAD.pop()
+
+
 def offset() -> Column:
-    """Row number inside the block, 0 for its first own bar; copies of earlier bars are below 0."""
-    return F.col(_OFFSET)
+    """Row number inside the block, 0 for the first row whose result is used; earlier copies are below 0."""
+    return F.col(_OFFSET) + _LEAD[-1]
 
 
 def rows(window: WindowSpec, count: int) -> WindowSpec:

@@ -9,10 +9,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 
-from tickloom.plans.layout import BLOCK_ROWS, block_window, settle, spread
+from tickloom.plans.layout import BLOCK_ROWS, block_window, leading, settle, spread
 
 Layers = Sequence[Mapping[str, Column]]
 
+#: Own bars a block should have at least.
+MIN_BLOCK = 256
+
 
 @dataclass(frozen=True)
 class Step:
@@ -20,8 +23,8 @@ class Step:
 
     ``layers(window)`` gives groups of columns; a group may read the columns of the
     groups and steps before it. ``back`` and ``ahead`` say how many bars before and
-    after the current one the step reads. ``span`` bounds the rows from the first own row of a
-    block to the last copy after it.
+    after the current one the step reads. ``span`` bounds the rows from the first whose result is
+    used, which may be a copy that a dependent step looks at, to the last copy after a block.
     """
 
     name: str
@@ -54,15 +57,29 @@ def in_order(steps: Iterable[Step]) -> list[Step]:
     return list(found.values())
 
 
+def leads_of(steps: Sequence[Step]) -> dict[str, int]:
+    """How many bars before a block's own ones the result of each step is looked at."""
+    leads = {step.name: 0 for step in steps}
+    for step in reversed(steps):  # dependents first
+        for need in step.needs:
+            if need.name in leads:
+                leads[need.name] = max(leads[need.name], leads[step.name] + step.back)
+    return leads
+
+
 def side_by_side(steps: Sequence[Step], window: WindowSpec) -> Iterator[dict[str, Column]]:
     """The layers of all steps, those that do not wait for each other put into one.
 
     Window columns of one layer are evaluated in a single pass over the rows.
     """
-    waiting = {step.name: (step, [dict(layer) for layer in step.layers(window)]) for step in steps}
+    waiting: dict[str, tuple[Step, list[dict[str, Column]]]] = {}
+    for step in steps:
+        with leading(leads_of(steps)[step.name]):
+            waiting[step.name] = (step, [dict(layer) for layer in step.layers(window)])
+    here = set(waiting)
     done: set[str] = set()
     while waiting:
-        ready = [n for n, (step, _) in waiting.items() if all(s.name in done for s in step.needs)]
+        ready = [n for n, (step, _) in waiting.items() if all(s.name in done or s.name not in here for s in step.needs)]
         together: dict[str, Column] = {}
         for name in ready:
             layers = waiting[name][1]
@@ -77,17 +94,25 @@ def side_by_side(steps: Sequence[Step], window: WindowSpec) -> Iterator[dict[str
 
 def compute(
     indexed: DataFrame, *steps: Step, select: Sequence[str | Column] | None = None,
-    block: int | None = None,
+    block: int | None = None, given: frozenset[str] = frozenset(),
 ) -> DataFrame:
     """Add the columns of ``steps`` to indexed bars, with one exchange for all of them.
 
     A block has twice as many bars as it needs copies, so that these stay below half of the rows, unless
-    the weights of a steep average end it sooner. No result depends on the size of the blocks.
+    the weights of a steep average end it sooner. No result depends on the size of the blocks. An average too
+    steep for what looks back at it is computed in a pass of its own. The columns of the steps named in
+    ``given`` are there already.
     """
-    todo = in_order(steps)
+    todo = [s for s in in_order(steps) if s.name not in given]
+    leads = leads_of(todo)
     back = max((s.reach_back() for s in todo), default=0)
     ahead = max((s.reach_ahead() for s in todo), default=0)
-    spans = [max(1, s.span - ahead) for s in todo if s.span]
+    for step in todo:
+        if step.span and step.span - ahead - leads[step.name] < MIN_BLOCK and leads[step.name]:
+            first = compute(indexed, step, block=block, given=given)
+            names = {s.name for s in in_order([step])}
+            return compute(first, *steps, select=select, block=block, given=given | names)
+    spans = [max(1, s.span - ahead - leads[s.name]) for s in todo if s.span]
     block = min([block or max(BLOCK_ROWS, 2 * (back + ahead)), *spans])
     out = spread(indexed, back, ahead, block)
     window = block_window()
