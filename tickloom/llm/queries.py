@@ -13,6 +13,7 @@ from tickloom.llm import (
     language,
     licenses,
     mixing,
+    sql,
     substrings,
     token_files,
     toxicity,
@@ -22,13 +23,13 @@ from tickloom.llm.shared import query
 from tickloom.sources.store import table
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", sql.NEAR_DUPLICATES)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), words=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", sql.CONTAMINATION)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -49,7 +50,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
-@query("op5_top_k_bit_sliced")
+@query("op5_top_k_bit_sliced", sql.TOP_K)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return bit_sliced.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), 5)
@@ -91,7 +92,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", sql.REPEATS)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, folder, "documents"), 50, keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
