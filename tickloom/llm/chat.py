@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tickloom.llm.shared import stored, workspace
-from tickloom.llm.token_files import tokenizer
+from tickloom.llm.words import slices
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "<<SYS>>", "<</SYS>>")
 _FIND = re.compile("|".join(map(re.escape, CONTROL)))
@@ -71,15 +72,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in names]
         size = 0
-        for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):
+        for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns")):
             conv = hashlib.blake2b(repr(conv_id).encode(), digest_size=16).digest()
             key = b""
-            for depth, turn in enumerate(turns):
+            own = turns.as_py()
+            for depth, turn in enumerate(own):
                 role, text = turn["role"] or "", turn["text"] or ""
                 parent = key
                 raw = [parent, role.encode(), text.encode()]
                 key = hashlib.blake2b(b"".join(len(r).to_bytes(8, "little") + r for r in raw), digest_size=16).digest()
-                for column, value in zip(out, (conv_id, conv, depth, len(turns), key, parent, role, text)):
+                for column, value in zip(out, (conv_id, conv, depth, len(own), key, parent, role, text)):
                     column.append(value)
                 size += len(text)
             if size > 4 << 20:
@@ -89,26 +91,37 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
+def byte_table(vocabulary: str) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary, which writes each byte as one printable character."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    code = {chr(b): b for b in shown}
+    code |= {chr(0x100 + n): b for n, b in enumerate(b for b in range(0x100) if b not in shown)}
+    words = Tokenizer.from_file(vocabulary).get_vocab()
+    table = [b""] * (max(words.values()) + 1)
+    for word, number in words.items():
+        known = all(c in code for c in word)
+        table[number] = bytes(code[c] for c in word) if known else word.encode()
+    return table
+
+
 def _tokens(vocabulary: str):
+    def coded(encoder: Tokenizer, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [encoder.encode(p, add_special_tokens=False).ids for p in format_turn(role, text)]
+        loss = np.repeat([False, role == "assistant", False], [len(p) for p in pieces])
+        return np.array([i for p in pieces for i in p], np.int32), loss
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(vocabulary)
+        # not kept after the task: workers live on, and other steps of theirs need no vocabulary
+        encoder = Tokenizer.from_file(vocabulary)
         encoder.encode_special_tokens = True
         for batch in batches:
-            turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())
-            pieces = [format_turn(role, text) for role, text in turns]
-            ids = [[e.ids for e in encoder.encode_batch(list(p), add_special_tokens=False)] for p in pieces]
-            loss = [
-                [role == "assistant" and k == 1 for k in range(3) for _ in own[k]]
-                for role, own in zip(batch.column("role").to_pylist(), ids)
-            ]
-            yield pa.record_batch(
-                [
-                    batch.column("key"),
-                    pa.array([a + b + c for a, b, c in ids], pa.list_(pa.int32())),
-                    pa.array(loss, pa.list_(pa.bool_())),
-                ],
-                names=["key", "ids", "loss"],
-            )
+            for part in slices(batch, "text"):
+                turns = zip(part.column("role").to_pylist(), part.column("text").to_pylist())
+                lists = [coded(encoder, role, text) for role, text in turns]
+                edges = pa.array(np.cumsum([0, *(len(ids) for ids, _ in lists)]), pa.int32())
+                ids, loss = (pa.array(np.concatenate(flat)) for flat in zip(*lists))
+                columns = [pa.ListArray.from_arrays(edges, flat) for flat in (ids, loss)]
+                yield pa.record_batch([part.column("key"), *columns], names=["key", "ids", "loss"])
 
     return run
 
@@ -118,7 +131,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "path", "depth", "position"]
     kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
     for batch in batches:
-        for chain in batch.column("chain").to_pylist():
+        for whole in batch.column("chain"):
+            chain = whole.as_py()
             out: list[list] = [[] for _ in names]
             path, position, waiting = b"", 0, []
             for node in chain:
@@ -244,21 +258,23 @@ def _build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame
     return stored(tree, "tree", keep=True), members
 
 
-def _read(vocabulary: str):
+def _read(table: list[bytes]):
+    def decoded(ids: list[int]) -> str:
+        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = tokenizer(vocabulary)
         for batch in batches:
             rows = []
-            for conv_id, nodes in zip(batch.column("conv_id").to_pylist(), batch.column("nodes").to_pylist()):
+            for conv_id, nodes in zip(batch.column("conv_id").to_pylist(), batch.column("nodes")):
                 turns, loss, size = hashlib.sha256(), [], 0
-                for node in nodes:
-                    formatted = decoder.decode(node["ids"], skip_special_tokens=False)
+                for node in nodes.as_py():
+                    formatted = decoded(node["ids"])
                     size += len(formatted)
                     role, text = parse_turn(formatted)
                     turns.update(f"{role}\n{text}\n".encode())
                     learned = [i for i, own in zip(node["ids"], node["loss"]) if own]
                     if learned:
-                        loss.append(unescape(decoder.decode(learned, skip_special_tokens=False)))
+                        loss.append(unescape(decoded(learned)))
                 learned = "".join(loss)
                 digest = hashlib.sha256(learned.encode()).hexdigest()
                 rows.append((conv_id, len(nodes), turns.hexdigest(), len(learned), digest, size))
@@ -279,6 +295,6 @@ def read_conversations(tree: DataFrame, members: DataFrame, vocabulary: str) ->
     nodes = F.array_sort(F.collect_list(F.struct("depth", "ids", "loss"))).alias("nodes")
     whole = members.join(tree.select("key", "ids", "loss"), "key").groupBy("conv").agg(F.first("conv_id").alias("conv_id"), nodes)
     return whole.select("conv_id", "nodes").mapInArrow(
-        _read(vocabulary),
+        _read(byte_table(vocabulary)),  # some 50,000 short strings
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     )
