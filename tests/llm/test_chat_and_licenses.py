@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import chat, licenses
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 HARD = st.lists(st.sampled_from([*"\\ok <>/s[]\né", *chat.CONTROL]), max_size=12).map("".join)
 
 

@@ -18,16 +18,19 @@ text only.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tickloom.llm.shared import stored, workspace
 from tickloom.llm.words import slices
@@ -91,29 +94,34 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
+def ranks(vocabulary: str) -> dict[bytes, int]:
+    """Bytes and id of each token of a vocabulary file (base64 and number on each line)."""
+    with open(vocabulary, "rb") as lines:
+        return {base64.b64decode(word): int(number) for word, number in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=1)
+def encoding(vocabulary: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})
+
+
 def byte_table(vocabulary: str) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary, which writes each byte as one printable character."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    code = {chr(b): b for b in shown}
-    code |= {chr(0x100 + n): b for n, b in enumerate(b for b in range(0x100) if b not in shown)}
-    words = Tokenizer.from_file(vocabulary).get_vocab()
+    """The bytes of every id."""
+    words = ranks(vocabulary)
     table = [b""] * (max(words.values()) + 1)
     for word, number in words.items():
-        known = all(c in code for c in word)
-        table[number] = bytes(code[c] for c in word) if known else word.encode()
+        table[number] = word
     return table
 
 
 def _tokens(vocabulary: str):
-    def coded(encoder: Tokenizer, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [encoder.encode(p, add_special_tokens=False).ids for p in format_turn(role, text)]
+    def coded(encoder: tiktoken.Encoding, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [encoder.encode_ordinary(p) for p in format_turn(role, text)]
         loss = np.repeat([False, role == "assistant", False], [len(p) for p in pieces])
         return np.array([i for p in pieces for i in p], np.int32), loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # not kept after the task: workers live on, and other steps of theirs need no vocabulary
-        encoder = Tokenizer.from_file(vocabulary)
-        encoder.encode_special_tokens = True
+        encoder = encoding(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
                 turns = zip(part.column("role").to_pylist(), part.column("text").to_pylist())
@@ -167,7 +175,8 @@ def build_tree(turns: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]
 
     Turns of a conversation are taken by turn, then role and text; all of them count, repeated ones too. Null
     text and role are empty. Rows without conv_id form one conversation. An empty table gives an
-    empty tree. ``vocabulary`` is the path of a byte-level tokenizers file, so that decoding gives the text back.
+    empty tree. ``vocabulary`` is the path of a byte-level vocabulary (lines of base64 and rank), so that
+    decoding gives the text back; strings of special tokens are ordinary text to it.
     """
     with workspace(turns.sparkSession):
         return _build_tree(turns, vocabulary)

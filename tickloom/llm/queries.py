@@ -58,7 +58,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_chat_prefix_tree")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
