@@ -65,6 +65,27 @@ def test_components(spark):
     assert dict(pairs(found, "node", "label")) == want
 
 
+@pytest.mark.parametrize(
+    "chain",
+    [
+        [2, 5, 4, 3, 1],
+        [1, 5, 3, 4, 2],
+        [4, 2, 6, 5, 3, 1],
+        [1, 3, 7, 4, 6, 5, 2],
+        [1, 7, 8, 5, 4, 2, 6, 3],
+        [4, 3, 7, 8, 6, 9, 1, 5, 2],
+        [4, 9, 1, 7, 3, 6, 5, 2, 8, 10],
+        [4, 3, 2, 8, 11, 9, 10, 6, 1, 5, 7],
+        [3, 4, 12, 9, 6, 2, 8, 5, 11, 1, 10, 7],
+    ],
+)
+def test_components_of_a_chain(spark, chain):
+    """Numberings with which a node still points to two roots when no root points to any."""
+    links = spark.createDataFrame(list(zip(chain, chain[1:])), "a bigint, b bigint")
+    found = counted(components.components(links), "node", "label")
+    assert found == Counter((node, 1) for node in chain)
+
+
 def test_contamination(spark, folder, documents):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     found = decontamination.contamination(documents, items).withColumn("ids", F.concat_ws(",", "items"))

@@ -27,6 +27,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Numbers that point to two others, or point to one and are pointed to: without any, all are stars."""
+    points = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    pointed = edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    ends = points.unionByName(pointed).groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 or (out = 1 and into = 1)")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every number in ``links`` (a, b): the smallest number it is linked with.
 
@@ -44,8 +52,7 @@ def _components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").distinct()
     while True:
         edges = stored(_star(_star(edges, True), False), "stars")
-        # done when no number that others point to points to another itself
-        if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        if _unfinished(edges).isEmpty():
             break
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
