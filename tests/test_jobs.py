@@ -116,6 +116,14 @@ def test_split_and_complete(spark, folder):
     assert set(features.FEATURES) <= set(rows.columns) and len(features.FEATURES) == 22
 
 
+def test_registered_search_has_all_trials(spark, folder, monkeypatch):
+    def search(rows, trials):
+        return spark.createDataFrame([(n, k, "", "", 0.0) for n, (k, _) in enumerate(trials)], models.SEARCH_SCHEMA), 0
+
+    monkeypatch.setattr(models, "param_search", search)
+    assert prediction.param_search(spark, folder).select("trial").distinct().count() == models.TRIALS == 100
+
+
 def test_trials_are_repeatable():
     a, b = models.random_trials(20), models.random_trials(20)
     assert a == b and {k for k, _ in a} == set(models.KINDS)

@@ -203,7 +203,7 @@ model_scores("gbt_scores", "gradient_boosting", max_depth=3, iterations=5)
 
 @query("param_search")
 def param_search(spark: SparkSession, folder: str) -> DataFrame:
-    ledger, best = models.param_search(split_rows(spark, folder), models.random_trials(count=3))
+    ledger, best = models.param_search(split_rows(spark, folder), models.random_trials())
     return ledger.withColumn("is_best", F.col("trial") == best)
 
 
