@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, licenses
+from tickloom.llm import chat, license_texts, licenses
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 HARD = st.lists(st.sampled_from([*"\\ok <>/s[]\né", *chat.CONTROL]), max_size=12).map("".join)
@@ -116,6 +116,25 @@ def test_licenses(spark, odd):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_wrapped_headers_and_full_texts(spark):
+    texts = {}
+    for name, text in license_texts.TEMPLATES:
+        texts.setdefault(name, []).append(text)
+    code = "\n".join(f"x{i} = call{i}(y{i})" for i in range(400))
+    rows = []
+    for name, own in texts.items():
+        for i, text in enumerate(own):
+            commented = "\n".join(f" * {line}" for line in text.split("\n"))
+            rows.append((f"h/{name}{i}.c", f"/* one{i}.c - does things\n{commented}\n */\n{code}", name, False))
+        rows.append((f"{name}/LICENSE", f"Copyright (c) 2020 Some Body\n\n{own[-1]}\n", name, False))
+        rows.append((f"{name}/src/main.c", code, name, True))
+    short = "\n".join(f"# {' '.join(license_texts.TEMPLATES[6][1].split()[i:i + 5])}" for i in range(0, 99, 5))
+    rows += [("n/wrapped.py", f"{short}\n{code}", "GPL-3.0", False), ("n/none.c", code, None, False)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, *_) in enumerate(rows)], "doc_id bigint, path string, text string")
+    found = {r["path"]: (r["license"], r["inherited"]) for r in licenses.scan(df).collect()}
+    assert found == {path: (name, inherited) for path, _, name, inherited in rows}
+
+
 def test_licenses_of_the_documents(documents):
     from tickloom.llm.queries import op4
 
