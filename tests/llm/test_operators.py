@@ -328,6 +328,40 @@ def test_repeats_inside_texts(spark, monkeypatch, many):
     assert counted(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.repeats(rows, 50)
 
 
+@pytest.mark.parametrize("size", [45, 70])
+def test_repeats_of_a_common_passage(spark, monkeypatch, size):
+    """A passage in all texts, with other words around it: no key of an index outgrows its bound."""
+    monkeypatch.setattr(substrings, "MANY", 4)
+    monkeypatch.setattr(substrings, "FULL", 500, raising=False)
+    search = substrings._search
+
+    def bounded(window):
+        inner = search(window)
+
+        def run(batches):
+            batches, seen = list(batches), Counter()
+            for batch in batches:
+                for key, words in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist()):
+                    seen[key] += len(words)
+            if max(seen.values(), default=0) > 500:
+                raise ValueError("a key has too many words for an index")
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(substrings, "_search", bounded)
+    passage = [f"p{i}" for i in range(size)]
+    rows = []
+    for i in range(60):
+        before, after = ([f"{c}{i % 50}x{k}" for k in range(12 + i % 5)] for c in "ab")
+        rows.append((100 - i, " ".join([*before, *passage, *after, f"end{i}"])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substrings.remove_repeats(df, 50)
+    want = brute.repeats(rows, 50)
+    assert any(row[2] for row in want)
+    assert counted(found, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_repeats_odd(odd, none):
     found = substrings.remove_repeats(odd, 50)
     want = brute.repeats(pairs(odd, "doc_id", "text"), 50)

@@ -10,6 +10,8 @@ a stretch. Equal windows always meet.
    has them, with partial sums; that document keeps one for all.
 3. Where different stretches share a hash, their words are cut from the texts and indexed. Hashes with very many
    stretches are first split by longer runs (``LONG``), which again come from the words of each window.
+   What then still has more than ``FULL`` words under one key is no longer indexed: each of its windows is known by a
+   hash of all its words, and the smallest doc_id of each is found with partial sums.
 4. In each block of a shard an FM-index (``fm_index``) is built, and the stretches are streamed
    through it by backward search. Windows whose interval holds a smaller doc_id are reported.
 5. The reported intervals are joined to the documents, and their words removed.
@@ -34,8 +36,10 @@ GRAM, LONG = 20, 36
 STRETCH = 64
 #: Stretches of a hash from which on it is split by longer runs.
 MANY = 2048
-#: Words in one index; a hash with more gets an index of its own.
+#: Words in one index, at most ``FULL`` more.
 INDEXED = 1 << 20
+#: Words of a key from which on its windows are compared by hash.
+FULL = 1 << 18
 #: The place of rows without doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -190,6 +194,30 @@ def _resplit(window: int):
     return run
 
 
+def _whole_windows(window: int):
+    """Each window of the stretches by a hash of all its words; with the key, 128 bits stand for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, edges = _flat(batch.column("words"))
+            number = np.maximum(np.diff(edges) - window + 1, 0)
+            row = np.repeat(np.arange(batch.num_rows), number)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+            value = _rolling(hashes, window)[edges[:-1][row] + inner]
+            rows = pa.array(row)
+            offset = batch.column("offset").to_numpy()[row] + inner
+            yield pa.record_batch(
+                [
+                    *(batch.column(c).take(rows) for c in ("key", "hash", "content", "doc")),
+                    pa.array(offset.astype(np.int32)),
+                    pa.array(value.view(np.int64)),
+                ],
+                names=["key", "hash", "content", "doc", "offset", "value"],
+            )
+
+    return run
+
+
 def _search(window: int):
     """Index the stretches of a block, stream them through it, and report windows of smaller docs."""
 
@@ -320,12 +348,25 @@ def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
         ),
         "pieces",
     )
+    full = pieces.groupBy("key").agg(F.sum(F.size("words")).alias("n")).where(F.col("n") > FULL).select("key")
+    full = stored(full, "full")
     found = (
-        pieces.repartition("key")
+        pieces.join(full, "key", "left_anti")
+        .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_search(window), "hash bigint, content bigint, doc bigint, offset int, found int")
     )
-    found = stored(found, "found")
+    windows = pieces.join(full, "key", "left_semi").select(*pieces.columns).mapInArrow(
+        _whole_windows(window), "key bigint, hash bigint, content bigint, doc bigint, offset int, value bigint"
+    )
+    windows = stored(windows, "windows")
+    least = windows.groupBy("key", "value").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    common = (
+        windows.join(least.where("least < most"), ["key", "value"])
+        .where("doc > least")
+        .select("hash", "content", "doc", "offset", F.lit(1).alias("found"))
+    )
+    found = stored(found.unionByName(common), "found")
     inner = runs.select("hash", "content", "doc", "text_id", "start").join(found, ["hash", "content", "doc"]).select(
         "doc", "text_id", (F.col("start") + F.col("offset")).alias("start"), "found"
     )
