@@ -210,6 +210,15 @@ def test_bit_sliced_candidates_hold_the_best():
             assert set(np.flatnonzero(score >= np.sort(score)[-5])) <= set(rows)
 
 
+def test_bit_sliced_best_with_several_rows_under_the_own_id():
+    values = np.array([[1000 - i] for i in range(4)] + [[100 + i] for i in range(20)], np.int64)
+    ids = np.array([7] * 4 + list(range(20, 40)), np.int64)
+    for k in (1, 2, 5):
+        _, found, score = bit_sliced.Slices(values).best(values[:1], ids[:1], ids, k)
+        assert ids[found].tolist() == list(range(39, 39 - k, -1))
+        assert score.tolist() == [(119 - i) * 1000 for i in range(k)]
+
+
 def test_language(spark, documents):
     model = language.train(documents)
     found = language.predict(documents, model).join(documents.select("doc_id", "lang"), "doc_id")

@@ -116,7 +116,10 @@ class Slices:
     def best(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
         """Query, row and exact score of the ``k`` best of each query, its own id left out."""
         found = []
-        for q, rows in enumerate(self.candidates(queries, k + 1)):
+        # room for all rows under a query's own id, of which there may be several
+        known, many = np.unique(ids, return_counts=True)
+        most = int(many[np.isin(known, own)].max(initial=0))
+        for q, rows in enumerate(self.candidates(queries, k + most)):
             rows = rows[ids[rows] != own[q]]
             score = self.values[rows] @ queries[q]
             first = np.lexsort((ids[rows], -score))[:k]
