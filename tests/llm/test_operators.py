@@ -58,6 +58,11 @@ def test_near_duplicates_odd(odd, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_refuse_a_percent_that_loses_links(none):
+    with pytest.raises(ValueError, match="80 percent"):
+        near_duplicates.near_duplicates(none, 4, percent=79)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7), (200, 200), (None, 3)]
     found = components.components(spark.createDataFrame(links, "a bigint, b bigint"))

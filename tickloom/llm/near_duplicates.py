@@ -300,7 +300,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     together, whatever their doc_id; a row without doc_id is linked like any other but never
     names a component unless no member has a doc_id, and then component_id is null and kept false.
     Repeated rows appear as often as they come. An empty table gives an empty result.
+    ``percent`` below 80 is refused, as the lists are laid out for 80 and would lose links.
     """
+    if percent < 80:
+        raise ValueError("the lists find all links from 80 percent on only")
     with workspace(docs.sparkSession):
         grouped = stored(_grouped(docs, words, percent), "grouped", keep=True)
     smallest = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
