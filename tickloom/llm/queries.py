@@ -15,6 +15,7 @@ from tickloom.llm import (
     mixing,
     sql,
     substrings,
+    token_counts,
     token_files,
     toxicity,
 )
@@ -96,3 +97,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, folder, "documents"), 50, keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
