@@ -14,6 +14,7 @@ from tickloom.llm import (
     language,
     licenses,
     mixing,
+    prefix_trie,
     sql,
     substrings,
     token_counts,
@@ -100,6 +101,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op11_prefix_trie", sql.PREFIX_TRIE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

