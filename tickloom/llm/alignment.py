@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import stored, workspace
 from tickloom.llm.words import _bytes, _hashes, slices
 
-PART = 8 << 20
+PART = 4 << 20
 #: Fixed value: how a byte-level vocabulary cuts a text before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Kinds of stored rows: a text with its units, the links of a part's units, a pair of ids of a part.
+TEXT, UNITS, PAIR = 0, 1, 2
 _STORED = (
-    "part bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
-    "a int, b int, docs bigint, units array<int>"
+    "part bigint, kind int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
+    "data binary, number int, a int, b int, docs bigint"
 )
 _NAMES = [column.split()[0] for column in _STORED.split(", ")]
 _RESULT = (
@@ -134,6 +137,16 @@ def distinct(numbers: np.ndarray) -> np.ndarray:
     return numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Small whole numbers as compressed bytes: all low bytes, then all second bytes, and so on."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def groups(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of each token of both sides, from where the tokens end; groups are numbered from 0, left to right.
 
@@ -247,21 +260,19 @@ class Matched:
             return ""
         return hashlib.sha256(b"".join([self.written[u] for u in units.tolist()])[:-1]).hexdigest()
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
-        """Pairs of ids, how many texts hold each, and the units that do, as often as they do."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of ids, how many texts hold each, and the number of the pair of each link, unit by unit."""
         pair, number = np.unique(self.link, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(number, minlength=len(pair))))
-        units = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(self.link_unit[order].astype(np.int32)))
+        units, many = len(self.a_count), max(len(pair), 1)
         # different pairs of each unit, then of each text
-        own = distinct(self.link_unit.astype(np.int64) * len(pair) + number)
-        of_unit = np.bincount(own // max(len(pair), 1), minlength=len(self.a_count))
+        own = distinct(self.link_unit.astype(np.int64) * many + number)
+        of_unit = np.bincount(own // many, minlength=units)
         first = np.cumsum(of_unit) - of_unit
-        held = distinct(self.text.astype(np.int64) * len(self.a_count) + self.unit)
-        text, unit = np.divmod(held, max(len(self.a_count), 1))
-        found = own[spread(first[unit], of_unit[unit])] % max(len(pair), 1)
-        found = distinct(np.repeat(text, of_unit[unit]) * len(pair) + found) % max(len(pair), 1)
-        return pair, np.bincount(found, minlength=len(pair)), units
+        held = distinct(self.text.astype(np.int64) * max(units, 1) + self.unit)
+        text, unit = np.divmod(held, max(units, 1))
+        found = own[spread(first[unit], of_unit[unit])] % many
+        found = distinct(np.repeat(text, of_unit[unit]) * many + found) % many
+        return pair, np.bincount(found, minlength=len(pair)), number
 
 
 def _match_parts(first: str, second: str):
@@ -275,46 +286,59 @@ def _match_parts(first: str, second: str):
     return run
 
 
+def _batch(rows: int, **columns: object) -> pa.RecordBatch:
+    """Rows as they are stored, null where nothing is given."""
+    kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64()}
+    made = []
+    for name, kind in (column.split() for column in _STORED.split(", ")):
+        value = columns.get(name)
+        if isinstance(value, int):
+            value = np.full(rows, value)
+        made.append(pa.nulls(rows, kinds[kind]) if value is None else pa.array(value, kinds[kind]))
+    return pa.record_batch(made, names=_NAMES)
+
+
 def _rows(found: Matched, doc_ids: pa.Array, part: int) -> Iterator[pa.RecordBatch]:
-    """One row per text with its units, then one per pair of ids; see ``_STORED``."""
+    """One row per text with its units, one with the links of all units, one per pair of ids."""
     docs = len(doc_ids)
     edges = np.searchsorted(found.text, np.arange(docs + 1))
-    sums = [
+    n_a, n_b, n_groups, n_links = (
         np.bincount(found.text, weights=x[found.unit], minlength=docs).astype(np.int64)
         for x in (found.a_count, found.b_count, found.groups, found.links)
-    ]
-    digests = [found.digest(found.unit[s:e]) for s, e in zip(edges[:-1], edges[1:])]
-    units = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found.unit.astype(np.int32)))
-    none = {"int": pa.nulls(docs, pa.int32()), "long": pa.nulls(docs, pa.int64())}
-    yield pa.record_batch(
-        [pa.array([part] * docs, pa.int64()), doc_ids, *map(pa.array, sums), pa.array(digests), none["int"], none["int"], none["long"], units],
-        names=_NAMES,
     )
-    pair, count, units = found.pairs()
-    none = pa.nulls(len(pair), pa.int64())
-    a, b = pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32))
-    yield pa.record_batch(
-        [pa.array([part] * len(pair), pa.int64()), *[none] * 5, pa.nulls(len(pair), pa.string()), a, b, pa.array(count), units],
-        names=_NAMES,
+    digests, held = [], []
+    for s, e in zip(edges[:-1], edges[1:]):
+        digests.append(found.digest(found.unit[s:e]))
+        held.append(squeeze(np.diff(np.sort(found.unit[s:e]), prepend=0)))
+    yield _batch(
+        docs, part=part, kind=TEXT, doc_id=doc_ids, n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links,
+        groups_sha256=digests, data=held,
+    )
+    pair, count, number = found.pairs()
+    links = squeeze(np.concatenate([[len(found.links)], found.links, number]))
+    yield _batch(1, part=part, kind=UNITS, data=[links])
+    yield _batch(
+        len(pair), part=part, kind=PAIR, number=np.arange(len(pair)), a=pair >> 32, b=pair & 0xFFFFFFFF, docs=count
     )
 
 
-def _numbers(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+def _numbers(rows: pa.Table, pairs: pa.Table) -> pa.Table:
     """The texts of a part with the sums over their links."""
-    lists, counts = pairs["held_by"].combine_chunks(), pairs["count"].to_numpy()
-    length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    unit = lists.flatten().to_numpy()
-    best = np.repeat(pairs["best"].to_numpy().astype(np.int64), length)
-    held = docs["units"].combine_chunks()
-    edges = np.append(0, np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
-    order = held.flatten().to_numpy()
-    out = []
-    for values in (best, np.repeat(counts, length)):
-        of_unit = np.zeros(1 + max(unit.max(initial=0), order.max(initial=0)), np.int64)
-        np.add.at(of_unit, unit, values)
-        out.append(np.diff(np.append(0, np.cumsum(of_unit[order]))[edges]))
+    kind = rows["kind"].to_numpy()
+    docs = rows.filter(pa.array(kind == TEXT))
+    links = unsqueeze(rows["data"][int(np.flatnonzero(kind == UNITS)[0])].as_py())
+    units, links = links[0], links[1:]
+    unit, number = np.repeat(np.arange(units), links[:units]), links[units:]
+    values = np.zeros((2, len(pairs)), np.int64)
+    values[0, pairs["number"].to_numpy()] = pairs["best"].to_numpy()
+    values[1, pairs["number"].to_numpy()] = pairs["count"].to_numpy()
+    of_unit = np.zeros((2, units), np.int64)
+    for row, value in zip(of_unit, values):
+        np.add.at(row, unit, value[number])
+    held = [np.cumsum(unsqueeze(data)) for data in docs["data"].to_pylist()]
+    sums = np.array([of_unit[:, own].sum(axis=1) for own in held], np.int64).reshape(-1, 2)
     kept = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
-    kept = kept.append_column("n_best", pa.array(out[0])).append_column("count_sum", pa.array(out[1]))
+    kept = kept.append_column("n_best", pa.array(sums[:, 0])).append_column("count_sum", pa.array(sums[:, 1]))
     return kept.append_column("groups_sha256", docs["groups_sha256"])
 
 
@@ -334,10 +358,10 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     with workspace(docs.sparkSession):
         parts = stored(rows.mapInArrow(_match_parts(first, second), _STORED), "matched", keep=True)
-    pairs = parts.where("a is not null").select("part", "a", "b", "docs", "units")
+    pairs = parts.where(F.col("kind") == PAIR).select("part", "number", "a", "b", "docs")
     totals = pairs.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     most = totals.groupBy(F.col("a").alias("of")).agg(F.max("count").alias("most"))
     totals = totals.join(most, F.col("a") == F.col("of")).select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    known = pairs.join(totals, ["a", "b"]).select(F.col("part").alias("of_part"), F.col("units").alias("held_by"), "count", "best")
-    texts = parts.where("a is null").drop("a", "b", "docs")
+    known = pairs.join(totals, ["a", "b"]).select(F.col("part").alias("of_part"), "number", "count", F.col("best").cast("int").alias("best"))
+    texts = parts.where(F.col("kind") != PAIR).drop("number", "a", "b", "docs")
     return texts.groupBy("part").cogroup(known.groupBy("of_part")).applyInArrow(_numbers, _RESULT)
