@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.shared import stored
 
-#: Rows in a block, queries in a block.
-ROWS, QUERIES = 8192, 128
+#: Rows in a block, queries that are sent to it together, and those that are added up at a time.
+ROWS, QUERIES, AT_ONCE = 8192, 1024, 128
 BITS, WEIGHT_BITS = 5, 4
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -127,11 +127,12 @@ class Slices:
         return (np.concatenate(x) for x in zip(*found))
 
 
-def whole_numbers(vectors: DataFrame) -> DataFrame:
+def whole_numbers(vectors: DataFrame, copies: int = 1) -> DataFrame:
     """(vec_id, width, vector): floor(256 x) of each component; rows that take no part are left out.
 
     These are rows without vec_id, null or empty vectors, and vectors with a null, NaN or infinite
-    component. Rows repeated in full count once. Components must be below 2**20 in size.
+    component. A row repeated in full comes as often as it stands there, up to ``copies`` times. Components
+    must be below 2**20 in size.
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
@@ -139,7 +140,10 @@ def whole_numbers(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("bigint"), "embedding").where(
         x.isNotNull() & F.col("vec_id").isNotNull() & (F.size(x) > 0)
     )
-    return rows.where(~bad).select("vec_id", F.size(x).alias("width"), numbers.alias("vector")).dropDuplicates()
+    rows = rows.where(~bad).select("vec_id", F.size(x).alias("width"), numbers.alias("vector"))
+    counted = rows.groupBy("vec_id", "width", "vector").agg(F.count(F.lit(1)).alias("times"))
+    turns = F.explode(F.sequence(F.lit(1), F.least("times", F.lit(copies))))
+    return counted.withColumn("copy", turns).select("vec_id", "width", "vector")
 
 
 def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -181,16 +185,18 @@ def _search(k: int):
                 values = np.frombuffer(row["numbers"], "<i4").reshape(len(ids), -1).astype(np.int64)
                 own = np.frombuffer(row["query_ids"], "<i8")
                 queries = np.frombuffer(row["query_numbers"], "<i4").reshape(len(own), -1).astype(np.int64)
-                q, found, score = Slices(values).best(queries, own, ids, k)
-                yield pa.record_batch(
-                    [
-                        pa.array(own[q]),
-                        pa.array(q + row["query_block"] * (1 << 20)),
-                        pa.array(ids[found]),
-                        pa.array(score),
-                    ],
-                    names=["query_id", "place", "vec_id", "score"],
-                )
+                block = Slices(values)
+                for at in range(0, len(own), AT_ONCE):
+                    q, found, score = block.best(queries[at : at + AT_ONCE], own[at : at + AT_ONCE], ids, k)
+                    yield pa.record_batch(
+                        [
+                            pa.array(own[q + at]),
+                            pa.array(q + at + row["query_block"] * (1 << 20)),
+                            pa.array(ids[found]),
+                            pa.array(score),
+                        ],
+                        names=["query_id", "place", "vec_id", "score"],
+                    )
 
     return run
 
@@ -200,9 +206,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both have vec_id and embedding (see ``whole_numbers`` for the rows that take part). Returns query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id, fewer rows give fewer results. Only
-    vectors of the query's length are candidates. Of several vectors under one query id each is a query.
+    vectors of the query's length are candidates. Of several vectors under one query id each is a query; a query
+    repeated in full is asked once, while a candidate repeated in full counts each time. Without vectors or queries there
+    are no rows.
     """
-    index = _blocks(whole_numbers(vectors), ROWS)
+    # more than k equal rows are never among the k best of a query
+    index = _blocks(whole_numbers(vectors, k), ROWS)
     asked = _blocks(whole_numbers(queries), QUERIES)
     asked = asked.select(
         F.col("width").alias("query_width"),

@@ -24,8 +24,8 @@ from tickloom.llm.toxicity import held_out
 from tickloom.llm.words import FOLD, _bytes, slices
 
 BUCKETS = 8192
-#: Bytes of text worked on at a time.
-PART = 1 << 19
+#: Bytes of text and texts worked on at a time; a text takes a row of ``BUCKETS`` counts.
+PART, ROWS = 1 << 19, 256
 #: A lead in loss below this is ambiguous.
 CLOSE = 1.0
 #: Up to so many languages the code has every way to part them in two.
@@ -59,7 +59,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
     for batch in batches:
-        for part in slices(batch, "text", PART):
+        for part in slices(batch, "text", PART, ROWS):
             counts = run_counts(part.column("text"))
             share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
             langs = np.array(part.column("lang").to_pylist(), object)
@@ -121,7 +121,10 @@ class LanguageModel:
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    """Learn from the rows of ``docs`` (doc_id, text, lang) that have a lang and are not held out."""
+    """Learn from the rows of ``docs`` (doc_id, text, lang) that have a lang and a text and are not held out.
+
+    Repeated rows count as often as they stand there; an empty table teaches nothing.
+    """
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     sums = rows.select("text", "lang").mapInArrow(_sums, "lang string, bucket int, total double")
     # one number per language and bucket
@@ -142,13 +145,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of each row of ``docs`` (doc_id, text).
 
     A text that is null or has no letter is ``und`` with score 0 and ambiguous, and so is every
-    text if nothing was learned. The score is the share of the winner in the likelihood that the losses stand for.
+    text if nothing was learned. Repeated rows are all returned, an empty table gives no rows. The score is the share of the winner in the likelihood that the losses stand for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for part in slices(batch, "text", PART):
+            for part in slices(batch, "text", PART, ROWS):
                 known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
                 best = np.full(part.num_rows, len(model.languages))
                 share, close = np.zeros(part.num_rows), np.ones(part.num_rows, bool)

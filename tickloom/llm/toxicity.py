@@ -8,7 +8,7 @@ the executors with the scoring function.
 
 The features of the labelled texts are made by all tasks. Learning is sequential by nature, so one task goes
 through them, ``PASSES`` times, in an order given by hashes. What it sees is bounded by a parameter: at most
-``SAMPLE`` labelled texts, those with the smallest hashes of their doc_id. Averaging the weights of
+``SAMPLE`` labelled texts, those of the given documents with the smallest hashes of their doc_id. Averaging the weights of
 several tasks was tried and found much worse (8 shards: 60 % of held-out toxic texts found, one: 99 %).
 """
 
@@ -78,6 +78,8 @@ def _learn(table: pa.Table) -> pa.Table:
     form, and n their squares.
     """
     table = table.sort_by([("place", "ascending"), ("toxic", "ascending")])
+    if len(table["toxic"].unique()) < 2:  # one kind alone does not tell what sets it apart
+        return pa.table({"feature": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
     sets = table["features"].combine_chunks()
     own, place, seen = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
     edges = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
@@ -107,11 +109,15 @@ def _learn(table: pa.Table) -> pa.Table:
 
 @dataclass
 class ToxicityModel:
-    """The weights that are not zero, by ascending feature, and the constant term."""
+    """The weights that are not zero, by ascending feature, and the constant term.
+
+    A model that learned nothing, because labels of one kind or both were missing, holds no text for toxic.
+    """
 
     feature: np.ndarray
     weight: np.ndarray
     bias: float
+    learned: bool = True
 
     def __post_init__(self) -> None:
         self._maybe = np.zeros(1 << 16, bool)
@@ -133,9 +139,9 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks.
 
-    Held-out rows, null labels and null doc_ids teach nothing. Of several labels for a doc_id the
-    highest counts, of several rows with one doc_id each is an example; a null text has no
-    features. Without any label every score is one half.
+    Held-out rows, null labels and null doc_ids teach nothing, nor do labels of other documents, however many
+    these are. Of several labels for a doc_id the highest counts; of several texts under one doc_id one is an example,
+    chosen by a hash. A null text has no features. Unless there are labels of both kinds nothing is learned.
     """
     marked = (
         labels.where("toxic is not null and doc_id is not null")
@@ -144,20 +150,20 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .withColumn("place", F.xxhash64("marked"))
     )
-    sample = marked.orderBy("place", "marked").limit(SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("marked"), "text")
-    rows = (
-        texts.join(F.broadcast(sample), "marked")  # at most SAMPLE rows of three numbers
-        .select("place", "toxic", "text")
-        .mapInArrow(_feature_sets, "place bigint, toxic int, features array<int>")
-    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("marked"), "text").where("marked is not null")
+    given = marked.join(texts.select("marked"), "marked", "left_semi")
     with workspace(docs.sparkSession):
-        rows = stored(rows, "toxic-sets")
+        sample = stored(given.orderBy("place", "marked").limit(SAMPLE), "toxic-sample")
+        rows = texts.join(F.broadcast(sample), "marked")  # at most SAMPLE rows of three numbers
+        order = F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")
+        rows = rows.groupBy("marked", "place", "toxic").agg(F.min_by("text", order).alias("text"))
+        sets = rows.select("place", "toxic", "text").mapInArrow(_feature_sets, "place bigint, toxic int, features array<int>")
+        sets = stored(sets, "toxic-sets")
         # the weights that are not zero, of at most SAMPLE texts
-        learned = rows.groupBy().applyInArrow(_learn, "feature int, weight double").toArrow().sort_by("feature")
-    feature, weight = (learned[c].to_numpy() for c in ("feature", "weight"))
+        found = sets.groupBy().applyInArrow(_learn, "feature int, weight double").toArrow().sort_by("feature")
+    feature, weight = (found[c].to_numpy() for c in ("feature", "weight"))
     if not len(feature):
-        return ToxicityModel(feature, weight, 0.0)
+        return ToxicityModel(feature, weight, -35.0, learned=False)
     return ToxicityModel(feature[1:], weight[1:], float(weight[0]))
 
 

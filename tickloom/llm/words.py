@@ -127,14 +127,17 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` bytes of text each; a longer text comes alone."""
+def slices(
+    batch: pa.RecordBatch, column: str, limit: int = CHUNK, rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text and at most ``rows`` texts; a longer text comes alone."""
     if not batch.num_rows:
         return
     _, edges = _bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(edges, edges[at] + limit, "right")) - 1)
+        to = min(to, at + (rows or to))
         yield batch.slice(at, to - at)
         at = to
 
