@@ -7,11 +7,12 @@ node in which it leaves the trie by a binary search over such lengths: each step
 conversations that still search with the handles, and halves what is left. The last join is by the first turn
 of a node, and the hashes that the node holds tell at which turn the conversation leaves.
 
-Conversations are inserted in batches. All that leave the trie at one place with the same turn form a group; one of
-each group, chosen by a hash, becomes a new path below that place, nodes are cut where paths branch off, and the others
-search again from there. As the choice is random, groups shrink by halves and few batches are needed.
+Conversations are inserted in batches, a few first, then many. Those of a batch that leave the trie at one place with the
+same turn form a group; one of each group, chosen by a hash, becomes a new path below that place, the others follow it as
+far as they can, and form new groups where they leave it. As the choice is random, groups shrink by halves and few
+rounds are needed. After a batch, nodes are cut where paths branch off.
 
-Numbers of nodes are summed along the paths, from those inserted last to the first. Then each node of a path is
+Numbers of nodes are summed along the paths, from those that hang deepest to the first. Then each node of a path is
 expanded into one row per depth.
 """
 
@@ -31,6 +32,8 @@ from tickloom.llm.words import mix
 
 _KEYS = "array<struct<high:bigint,low:bigint>>"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Shares of the conversations, in sixteenths, that are inserted together.
+BATCHES = (1, 3, 12)
 _EVENT = "path bigint, m int, n_convs bigint, first bigint, n_leaves bigint, saved bigint, kids bigint, digest string"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -152,21 +155,22 @@ def _cut(nodes: DataFrame, places: DataFrame) -> DataFrame:
     rows = nodes.join(cuts, F.col("path") == F.col("of"), "left")
     inside = F.expr("array_sort(filter(coalesce(cuts, array()), m -> m > p and m < e))")
     rows = rows.withColumn("ends", F.concat(inside, F.array("e"))).withColumn("starts", F.concat(F.array("p"), inside))
-    rows = rows.select("path", "p", "edge", F.explode(F.arrays_zip("starts", "ends")).alias("part"))
+    rows = rows.select("path", "level", "p", "edge", F.explode(F.arrays_zip("starts", "ends")).alias("part"))
     edge = F.expr("slice(edge, part.starts - p + 1, part.ends - part.starts)")
-    return rows.select("path", F.col("part.starts").alias("p"), F.col("part.ends").alias("e"), edge.alias("edge"))
+    return rows.select("path", "level", F.col("part.starts").alias("p"), F.col("part.ends").alias("e"), edge.alias("edge"))
 
 
-def _locate(pending: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
-    """Where each conversation leaves the trie: ``m``, the turns it shares with it, and the path that has these.
+def _common(own: str, other: str) -> Column:
+    """How many of the first hashes of two lists agree."""
+    return F.expr(f"size(filter(zip_with({own}, {other}, (x, y) -> x = y), t -> t))")
 
-    Each begins at the node at depth ``l``, of which ``path`` is the path.
-    """
-    handle = two_fattest("p", "e")
-    by_handle = nodes.withColumn("f", handle).select(
-        "path", "p", "e", "f", F.expr("edge[f - p - 1]").alias("at_f"), F.expr("edge[e - p - 1]").alias("at_e")
+
+def _locate(batch: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
+    """Where each conversation leaves the trie: ``l``, the turns it shares with it, and the path that has these."""
+    by_handle = nodes.withColumn("f", two_fattest("p", "e")).select(
+        "path", "level", "p", "e", "f", F.expr("edge[f - p - 1]").alias("at_f"), F.expr("edge[e - p - 1]").alias("at_e")
     )
-    found = pending.withColumn("r", F.col("n"))
+    found = batch.withColumn("r", F.col("n"))
     for i in range(steps):
         # those that have ended are dealt out evenly and meet no node
         going = F.col("l") < F.col("r")
@@ -185,8 +189,9 @@ def _locate(pending: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
             F.when(whole, name["e"]).when(hit, name["p"]).otherwise(F.col("l")).alias("l"),
             F.when(whole, F.col("r")).when(hit, name["p"]).when(going, F.col("f") - 1).otherwise(F.col("r")).alias("r"),
             F.when(whole, name["path"]).otherwise(F.col("path")).alias("path"),
+            F.when(whole, name["level"]).otherwise(F.col("level")).alias("level"),
         )
-    below = nodes.select(F.col("path").alias("_path"), F.col("p").alias("_p"), F.col("edge").alias("_edge"), F.col("edge")[0].alias("_first"))
+    below = nodes.select(*(F.col(c).alias(f"_{c}") for c in ("path", "level", "p", "edge")), F.col("edge")[0].alias("_first"))
     more = F.col("l") < F.col("n")
     following = F.expr("element_at(keys, least(l + 1, n))")
     found = found.withColumns(
@@ -199,39 +204,68 @@ def _locate(pending: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
     found = found.join(
         below, (F.col("c") == F.col("_p")) & (F.col("ch") == F.col("_first")["high"]) & (F.col("cl") == F.col("_first")["low"]), "left"
     )
-    common = F.expr("size(filter(zip_with(slice(keys, l + 1, size(_edge)), _edge, (x, y) -> x = y), t -> t))")
     inside = F.col("_path").isNotNull()
+    shared = _common("slice(keys, l + 1, size(_edge))", "_edge")
     return found.select(
         "id", "n", "keys",
-        (F.col("l") + F.when(inside, common).otherwise(0)).alias("l"),
+        (F.col("l") + F.when(inside, shared).otherwise(0)).alias("l"),
         F.when(inside, F.col("_path")).otherwise(F.col("path")).alias("path"),
+        F.when(inside, F.col("_level")).otherwise(F.col("level")).alias("level"),
+    )
+
+
+def _grow(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A new path for each group of conversations that leave the trie, and how far each of the group follows it."""
+    following = F.expr("element_at(keys, l + 1)")
+    keyed = pending.withColumns({"h": following["high"], "w": following["low"]})
+    chosen = F.min_by(F.struct("id", "n", "keys", "path", "level"), F.struct(F.xxhash64("id"), "id"))
+    one = keyed.groupBy("l", "h", "w").agg(chosen.alias("one"))
+    new = one.select(
+        F.col("one.id").alias("path"), F.col("one.path").alias("hang"), "l", F.col("one.n").alias("n"),
+        (F.col("one.level") + 1).alias("level"), F.expr("slice(one.keys, l + 1, one.n - l)").alias("edge"), "h", "w",
     )
+    new = stored(new, "paths")
+    other = new.select(F.col("path").alias("_path"), F.col("level").alias("_level"), F.col("edge").alias("_edge"), "l", "h", "w")
+    met = keyed.join(other, ["l", "h", "w"])
+    shared = _common("slice(keys, l + 1, size(_edge))", "_edge")
+    moved = met.select("id", "n", "keys", (F.col("l") + shared).alias("l"), F.col("_path").alias("path"), F.col("_level").alias("level"))
+    return new, stored(moved, "moved")
 
 
-def _insert(classes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """Paths of each batch (path, hang, l, n), and where each class ends (id, path, m).
+def _insert(classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """All paths (path, hang, l, n, level), where each class ends (id, path, m), and the largest level.
 
-    A path begins below depth ``l`` of the path ``hang``, null at the root.
+    A path begins below depth ``l`` of the path ``hang``, null at the root; its level is one more than that of ``hang``.
     """
-    spark = classes.sparkSession
-    nodes = spark.createDataFrame([], f"path bigint, p int, e int, edge {_KEYS}")
-    pending = classes.where("n > 0").select("id", "n", "keys", F.lit(0).alias("l"), F.lit(None).cast("bigint").alias("path"))
-    batches, ends = [], []
-    while True:
-        steps = pending.agg(F.max(F.expr("length(bin(l ^ n))"))).first()[0]
-        if steps is None:
-            return batches, reduce(DataFrame.unionByName, ends) if ends else None
-        following = F.expr("element_at(keys, l + 1)")
-        groups = pending.groupBy("l", following["high"].alias("h"), following["low"].alias("w"))
-        one = groups.agg(F.min_by(F.struct("id", "n", "keys", "path"), F.struct(F.xxhash64("id"), "id")).alias("one"))
-        new = stored(one.select("one.id", "one.n", "l", F.col("one.path").alias("hang"), F.expr("slice(one.keys, l + 1, one.n - l)").alias("edge")), "paths")
-        batches.append(new.select(F.col("id").alias("path"), "hang", "l", "n"))
-        places = pending.where("l > 0").select("path", F.col("l").alias("m"))
-        leaves = new.select(F.col("id").alias("path"), F.col("l").alias("p"), F.col("n").alias("e"), "edge")
-        nodes = stored(_cut(nodes, places).unionByName(leaves), "nodes")
-        located = stored(_locate(pending, nodes, steps), "located")
-        ends.append(located.where("l = n").select("id", "path", F.col("l").alias("m")))
-        pending = located.where("l < n")
+    longest = classes.agg(F.max("n")).first()[0] or 0
+    nothing = [F.lit(0).alias("l"), F.lit(None).cast("bigint").alias("path"), F.lit(0).alias("level")]
+    place = F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(sum(BATCHES)))
+    nodes, paths, ends = None, [], []
+    for i, share in enumerate(BATCHES):
+        begin = sum(BATCHES[:i])
+        pending = classes.where((F.col("n") > 0) & (place >= begin) & (place < begin + share)).select("id", "n", "keys", *nothing)
+        if nodes is not None:
+            found = stored(_locate(pending, nodes, longest.bit_length()), "located")
+            ends.append(found.where("l = n"))
+            pending = found.where("l < n")
+        grown = []
+        while not pending.isEmpty():
+            new, moved = _grow(pending)
+            grown.append(new)
+            ends.append(moved.where("l = n"))
+            pending = moved.where("l < n")
+        paths += grown
+        if grown and i + 1 < len(BATCHES):
+            new = reduce(DataFrame.unionByName, grown)
+            leaves = new.select("path", "level", F.col("l").alias("p"), F.col("n").alias("e"), "edge")
+            every = leaves if nodes is None else nodes.unionByName(leaves)
+            places = new.where("l > 0").select(F.col("hang").alias("path"), F.col("l").alias("m"))
+            nodes = stored(_cut(every, places), "nodes")
+    if not paths:
+        return None, None, 0
+    every = reduce(DataFrame.unionByName, paths).select("path", "hang", "l", "n", "level")
+    ends = reduce(DataFrame.unionByName, ends).select("id", "path", F.col("l").alias("m"))
+    return every, ends, every.agg(F.max("level")).first()[0]
 
 
 class Paths:
@@ -335,24 +369,23 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     text times all conversations but one) and ends_sha256 (of the ids that end here, joined by commas).
     Conversations without turns end at the root; an empty table has no node. conv_id must be unique.
     """
-    spark = conversations.sparkSession
-    with workspace(spark):
+    with workspace(conversations.sparkSession):
         hashed = stored(conversations.mapInArrow(_hash_prefixes, f"conv_id bigint, n int, keys {_KEYS}, sizes array<bigint>"), "prefixes")
         classes = stored(_classes(hashed), "classes")
-        batches, ends = _insert(classes)
+        paths, ends, levels = _insert(classes)
         zero = F.lit(0).cast("bigint")
         about = classes.select("id", F.col("members").alias("n_convs"), F.col("id").alias("first"), zero.alias("n_leaves"), zero.alias("saved"), zero.alias("kids"), "digest")
         names = [part.split()[0] for part in _EVENT.split(", ")]
         at_root = classes.where("n = 0").select("id", F.lit(None).cast("bigint").alias("path"), F.lit(0).alias("m"))
         ends = at_root if ends is None else ends.unionByName(at_root)
         events = stored(ends.join(about, "id").select(*names), "ends")
-        sizes = classes.select(F.col("id").alias("of"), "sizes")
-        paths = []
-        for batch in batches:
-            rows = batch.join(sizes, F.col("path") == F.col("of")).drop("of")
-            paths.append(rows.withColumn("sizes", F.expr("slice(sizes, l + 1, n - l)")))
-        for batch in reversed(paths):
-            totals = _with_events(batch, events).select("hang", "l", "n", "sizes", "events").mapInArrow(_totals, _EVENT)
+        if paths is not None:
+            sizes = classes.select(F.col("id").alias("of"), "sizes")
+            rows = paths.join(sizes, F.col("path") == F.col("of")).drop("of")
+            paths = stored(rows.withColumn("sizes", F.expr("slice(sizes, l + 1, n - l)")), "sized")
+        for level in range(levels, 0, -1):
+            own = _with_events(paths.where(F.col("level") == level), events)
+            totals = own.select("hang", "l", "n", "sizes", "events").mapInArrow(_totals, _EVENT)
             events = events.unionByName(stored(totals, "totals"))
         root = events.where("m = 0").agg(
             F.min("first").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("kids").alias("n_children"),
@@ -360,9 +393,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
             F.coalesce(F.max("digest"), F.lit(_EMPTY)).alias("ends_sha256"),
         ).where("n_convs is not null")
         root = root.select("conv_id", zero.alias("depth"), F.lit(None).cast("bigint").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
-        if not paths:
+        if paths is None:
             return stored(root, "trie", keep=True)
-        below = _with_events(reduce(DataFrame.unionByName, paths), events).select("path", "hang", "l", "n", "sizes", "events")
+        below = _with_events(paths, events).select("path", "hang", "l", "n", "sizes", "events")
         below = stored(below.mapInArrow(_expand, _NODE), "expanded")
         return stored(_with_parents(below, root), "trie", keep=True)
 
