@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.catalog import prediction  # its SQL is used again here
 from tickloom.catalog import views as v
-from tickloom.catalog.registry import query
+from tickloom.catalog.registry import ORACLES, query
 from tickloom.catalog.sql import EXITS, OVER, ewm, fixed, last_rows, r, rs, rsi, sql, view
+from tickloom.operators import features as feat
 from tickloom.operators import indicators as ind
 from tickloom.operators import strategy as st
 from tickloom.operators import trades as tr
@@ -16,10 +18,12 @@ from tickloom.sources import store
 from tickloom.sources.bars import event_ticks
 from tickloom.streaming import bars as sb
 from tickloom.streaming import indicators as si
+from tickloom.streaming.idle import run_idle
+from tickloom.streaming.steps import StepStream
 
 _RUNS = [0]
 _REPLAYS: set[str] = set()
-FILES_PER_TRIGGER = 16
+FILES_PER_TRIGGER, STEP_BATCHES = 16, 4
 
 
 def fresh(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -40,14 +44,17 @@ def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
     return event_ticks(sb.parquet_stream(spark, folder, schema, "events.parquet"))
 
 
-def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The bars replayed as a stream of closed bars, in several micro-batches."""
+def bar_stream(spark: SparkSession, folder: str, batches: int | None = None) -> DataFrame:
+    """The bars replayed as a stream of closed bars, in several micro-batches, or in so many at most."""
     bars = v.bars(spark, folder)
     path = store.scratch(spark, "replay", store.tag(folder))
     if path not in _REPLAYS:
         sb.write_in_time_order(bars, path)
         _REPLAYS.add(path)
-    return sb.parquet_stream(spark, path, bars.schema, files_per_trigger=FILES_PER_TRIGGER)
+    files = FILES_PER_TRIGGER
+    if batches:
+        files = -(-len(spark.read.option("recursiveFileLookup", True).parquet(path).inputFiles()) // batches)
+    return sb.parquet_stream(spark, path, bars.schema, files_per_trigger=files)
 
 
 CLOSED = "WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
@@ -122,6 +129,40 @@ def stream_signal(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(out, "signal", rounded=("tmf_w", "tmf_26w_min", "tmf_26w_min_dd"))
 
 
+@query("stream_features", ORACLES["feature_table"])
+def stream_features(spark: SparkSession, folder: str) -> DataFrame:
+    """All model inputs on a stream: the steps of the batch job, in several micro-batches."""
+    path, checkpoint = fresh(spark, "features")
+    stream = StepStream(path, feat.feature_steps(), feat.signal_features)
+    stream.run(bar_stream(spark, folder, STEP_BATCHES), checkpoint, finish=True)
+    return prediction.shown_features(stream.results(spark))
+
+
+SILENT_DAYS = 3
+
+
+@query(
+    "stream_idle",
+    sql(
+        f"""
+        SELECT ticker, first_date, last_date, n_bars, lowest, highest FROM (
+          SELECT ticker, g, min(date) AS first_date, max(date) AS last_date, count(*) AS n_bars, {r('min(close)')} AS lowest,
+                 {r('max(close)')} AS highest, max(g) OVER (PARTITION BY ticker) AS last_g
+          FROM (SELECT *, sum(jump) {OVER} AS g FROM (
+            SELECT *, CASE WHEN datediff('day', lag(date) {OVER}, date) > {SILENT_DAYS} THEN 1 ELSE 0 END AS jump FROM idx))
+          GROUP BY ticker, g)
+        WHERE g < last_g OR datediff('day', last_date, (SELECT max(date) FROM idx)) > {SILENT_DAYS} + 366
+        """,
+        "idx",
+    ),
+)
+def stream_idle(spark: SparkSession, folder: str) -> DataFrame:
+    """Instruments silent for more than three days, closed by timers on event time or by their next bar."""
+    path, checkpoint = fresh(spark, "idle")
+    out = run_idle(bar_stream(spark, folder, STEP_BATCHES), SILENT_DAYS, "366 days", path, checkpoint)
+    return out.select("ticker", "first_date", "last_date", "n_bars", v.r("lowest"), v.r("highest"))
+
+
 # ---- strategy interface ------------------------------------------------------------------------------
 
 
@@ -230,12 +271,23 @@ view("test_trades", "test_outcomes", "SELECT * FROM test_outcomes WHERE signal =
 )
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     test = smoothed_flow_test(v.bars(spark, folder))
-    out = test.performance(test.run())
-    return out.select(
+    return summary(test, test.run())
+
+
+def summary(test: st.Backtest, trades: DataFrame) -> DataFrame:
+    return test.performance(trades).select(
         "year", "opportunities", "success", "fail", v.r("success_fail_ratio"), v.r("avg_return_rate")
     )
 
 
+@query("stream_backtest", ORACLES["backtest_summary"])
+def stream_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same strategy and costs on a stream of closed bars."""
+    test = smoothed_flow_test(v.bars(spark, folder))
+    path, checkpoint = fresh(spark, "backtest")
+    return summary(test, test.run_stream(bar_stream(spark, folder, STEP_BATCHES), path, checkpoint))
+
+
 def days_cost(ratio: Column, trade: dict[str, Column]) -> Column:
     """What the money costs for the days a trade is open."""
     return ratio - (tr.funding_factor(trade["days"]) - 1)

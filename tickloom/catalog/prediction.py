@@ -150,9 +150,11 @@ def yearly_return(spark: SparkSession, folder: str) -> DataFrame:
     sql(f"SELECT ticker, date, {rs(*feat.FEATURES, 'exit_gain_loss', 'target')} FROM features", "features"),
 )
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return v.by_bar(
-        v.features(spark, folder), rounded=(*feat.FEATURES, "exit_gain_loss", "target")
-    )
+    return shown_features(v.features(spark, folder))
+
+
+def shown_features(features: DataFrame) -> DataFrame:
+    return v.by_bar(features, rounded=(*feat.FEATURES, "exit_gain_loss", "target"))
 
 
 def split_rows(spark: SparkSession, folder: str) -> DataFrame:

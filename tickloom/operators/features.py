@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as ind
 from tickloom.operators import trades as tr
-from tickloom.plans.steps import compute
+from tickloom.plans.steps import Step, compute
 
 # The model inputs, in the order in which they are assembled.
 FEATURES = [
@@ -22,23 +22,28 @@ FEATURES = [
 ]
 
 
-def feature_table(indexed: DataFrame) -> DataFrame:
-    """All model inputs and the target; every column comes out of one exchange."""
-    steps = [
+def feature_steps() -> list[Step]:
+    """The steps behind all model inputs and the target."""
+    return [
         *ind.tmf_floor(), ind.tmf_floor_medians(), ind.tmf_signal(), tr.first_hit_exit(),
         tr.lagged_wins(), ind.adx(), ind.supertrend_bands(multiplier=2), ind.yearly_capital(),
     ]
+
+
+def signal_features(computed: DataFrame) -> DataFrame:
+    """One row per entry signal of bars with the columns of ``feature_steps``."""
     made = {
         "log_year_cap": F.log10(F.col("yearly_cap_xchngd") + 100),
         "day_of_week": F.dayofweek("date") - 1,
     }
     doubles = [made.get(c, F.col(c)).cast("double").alias(c) for c in FEATURES]
     target = F.col("exit_gain_loss")
-    return (
-        compute(indexed, *steps)
-        .where(F.col("signal") == 1)
-        .select("ticker", "date", *doubles, target, target.alias("target"))
-    )
+    return computed.where(F.col("signal") == 1).select("ticker", "date", *doubles, target, target.alias("target"))
+
+
+def feature_table(indexed: DataFrame) -> DataFrame:
+    """All model inputs and the target; every column comes out of one exchange."""
+    return signal_features(compute(indexed, *feature_steps()))
 
 
 def with_split(df: DataFrame, years: Mapping[str, Sequence[int]]) -> DataFrame:

@@ -15,6 +15,7 @@ from tickloom.operators.trades import ExitRule, first_hit_exit
 from tickloom.plans.layout import rows
 from tickloom.plans.steps import Step, compute, identity
 from tickloom.session import use_checkpoints
+from tickloom.streaming.steps import StepStream
 
 
 def reads(back: Callable[..., int], ahead: Callable[..., int] = lambda **_: 0, span=lambda **_: None):
@@ -168,13 +169,18 @@ class Backtest:
         """Bars with the columns of the given indicators."""
         return compute(self.feeds[feed], *[self.steps[u] for u in uids])
 
+    def _steps(self, strategies: Sequence[str]) -> list[Step]:
+        """What the signals of some strategies and their outcomes are computed with."""
+        wanted = {u: self.steps[u] for uid in strategies for u in self.strategies[uid][:2] if u}
+        return [*wanted.values(), first_hit_exit(self.exit_rule)]
+
     def signals(self, strategies: Sequence[str], feed: str = "bars") -> DataFrame:
         """One row per signal and strategy with its outcome and net ratio; one pass over the bars."""
         if not strategies:
             raise ValueError("add a strategy first")
-        named = {uid: self.strategies[uid][:2] for uid in strategies}
-        wanted = {u: self.steps[u] for pair in named.values() for u in pair if u}
-        out = compute(self.feeds[feed], *wanted.values(), first_hit_exit(self.exit_rule))
+        return self._signals(compute(self.feeds[feed], *self._steps(strategies)), strategies, feed)
+
+    def _signals(self, out: DataFrame, strategies: Sequence[str], feed: str) -> DataFrame:
         given = [
             F.when(
                 F.col(pulse) == 1,
@@ -183,7 +189,7 @@ class Backtest:
                     (F.abs(F.col(strength)) if strength else F.lit(1.0)).cast("double").alias("strength"),
                 ),
             )
-            for uid, (pulse, strength) in named.items()
+            for uid, (pulse, strength, _) in ((uid, self.strategies[uid]) for uid in strategies)
         ]
         out = out.withColumn("_given", F.explode(F.filter(F.array(*given), lambda g: g.isNotNull())))
         columns = ["ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason"]
@@ -203,7 +209,23 @@ class Backtest:
 
     def run(self, feed: str = "bars") -> DataFrame:
         """The trades of all strategies, found in one pass over the bars."""
-        signals = self.signals(list(self.strategies), feed)
+        return self._shared(self.signals(list(self.strategies), feed))
+
+    def stream(self, path: str, feed: str = "bars") -> StepStream:
+        """The same strategies on a stream: its results are the signals with their outcomes, as these become known."""
+        if not self.strategies:
+            raise ValueError("add a strategy first")
+        uids = list(self.strategies)
+        return StepStream(path, self._steps(uids), lambda rows: self._signals(rows, uids, feed))
+
+    def run_stream(self, bars: DataFrame, path: str, checkpoint: str, feed: str = "bars") -> DataFrame:
+        """Take in a stream of closed bars to its end and return the trades, as ``run`` does for stored bars."""
+        stream = self.stream(path, feed)
+        stream.run(bars, checkpoint, finish=True)
+        return self._shared(stream.results(bars.sparkSession))
+
+    def _shared(self, signals: DataFrame) -> DataFrame:
+        """Signals with their share of the day's capital."""
 
         def share(strength: Column, total: Column, count: Column) -> Column:
             own = F.lit(None).cast("double")
