@@ -53,7 +53,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 19):
             owner, found = features(split(part.column("text"), PLAIN, fold=True))
             keys = np.unique(owner.astype(np.int64) << 32 | found)
             count = np.bincount(keys >> 32, minlength=part.num_rows)
@@ -71,6 +71,18 @@ def _weights(z, n, l1: float):
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _frequent(features: np.ndarray) -> np.ndarray:
+    """The features that occur in ``SEEN`` texts at least, in order."""
+    ordered = np.sort(features)
+    # the first of each that has so many behind it
+    last = SEEN - 1
+    if len(ordered) <= last:
+        return ordered[:0]
+    often = ordered[: len(ordered) - last] == ordered[last:]
+    often[1:] &= ordered[1 : len(often)] != ordered[: len(often) - 1]
+    return ordered[: len(often)][often]
+
+
 def _learn(table: pa.Table) -> pa.Table:
     """The weights after all passes, by feature; the constant term stands under -1.
 
@@ -81,11 +93,13 @@ def _learn(table: pa.Table) -> pa.Table:
     if len(table["toxic"].unique()) < 2:  # one kind alone does not tell what sets it apart
         return pa.table({"feature": pa.array([], pa.int32()), "weight": pa.array([], pa.float64())})
     sets = table["features"].combine_chunks()
-    own, place, seen = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    flat = sets.flatten().to_numpy()
+    own = _frequent(flat)
     edges = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
-    learned = seen >= SEEN
-    texts = [place[s:e] for s, e in zip(edges[:-1], edges[1:])]
-    texts = [at[learned[at]].astype(np.int32) for at in texts]
+    texts = []
+    for start, end in zip(edges[:-1], edges[1:]):
+        at = np.minimum(np.searchsorted(own, flat[start:end]), max(len(own) - 1, 0))
+        texts.append(at[own[at] == flat[start:end]].astype(np.int32) if len(own) else at[:0])
     z, n = np.zeros(len(own)), np.zeros(len(own))
     bz = bn = 0.0
     for _ in range(PASSES):
