@@ -29,13 +29,14 @@ def indicator(
 def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, step: Callable[[], Step]) -> None:
     """Register a signed RSI with the two averages it is made of.
 
-    Where the averages nearly cancel the index has a pole, and its value hangs on their last bits. So that
-    every value can be compared, the one shown is worked out from the averages to eight
-    decimals; ``as_defined`` tells whether the operator's own value follows from its own averages.
+    Where the averages nearly cancel the index has a pole, and its value hangs on their last bits. ``own`` is the
+    operator's column, null where the sum of the averages is below a thousandth of the loss. So that the others can
+    be compared too, the column shown under the name is worked out from the averages to eight decimals.
     """
+    g, l = f"round({gain}, 8)", f"round({loss}, 8)"
     body = f"""
-        SELECT ticker, date, {rs(gain, loss)}, {r(rsi(f'round({gain}, 8)', f'round({loss}, 8)'))} AS {name},
-               true AS as_defined
+        SELECT ticker, date, {rs(gain, loss)}, {r(rsi(g, l))} AS {name},
+               CASE WHEN abs({g} + {l}) > 0.001 * abs({l}) THEN {r(rsi(gain, loss))} END AS own
         FROM (SELECT *, {gain_sql} AS {gain}, {loss_sql} AS {loss} FROM chg)
     """
 
@@ -43,9 +44,9 @@ def signed_rsi(name: str, gain: str, loss: str, gain_sql: str, loss_sql: str, st
     def run(spark: SparkSession, folder: str) -> DataFrame:
         out = v.on_bars(spark, folder, step())
         up, down = F.col(gain), F.col(loss)
-        shown = v.single(ind.signed_rsi(F.round(up, 8), F.round(down, 8))).alias(name)
-        own = F.col(name).eqNullSafe(ind.signed_rsi(up, down)).alias("as_defined")
-        return out.select("ticker", "date", v.r(gain), v.r(loss), shown, own)
+        g, l = F.round(up, 8), F.round(down, 8)
+        own = F.when(F.abs(g + l) > 0.001 * F.abs(l), v.single(F.col(name))).alias("own")
+        return out.select("ticker", "date", v.r(gain), v.r(loss), v.single(ind.signed_rsi(g, l)).alias(name), own)
 
 
 # ---- trend ---------------------------------------------------------------------------------

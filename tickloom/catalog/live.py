@@ -288,6 +288,29 @@ def stream_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return summary(test, test.run_stream(bar_stream(spark, folder, STEP_BATCHES), path, checkpoint))
 
 
+DAILY = 12_000.0
+FEES = "2 * CASE WHEN capital > 10000 THEN 0.0005::DOUBLE ELSE 5.0::DOUBLE / capital END"
+
+
+@query(
+    "backtest_fees",
+    sql(
+        f"""
+        SELECT ticker, date, {r('capital')} AS capital, {r(f'exit_gain_loss - {FEES}')} AS net_ratio
+        FROM (SELECT *, {DAILY}::DOUBLE / count(*) OVER (PARTITION BY date) AS capital FROM test_trades)
+        """,
+        "test_trades",
+    ),
+)
+def backtest_fees(spark: SparkSession, folder: str) -> DataFrame:
+    """Fees by the size of a trade: a share of large ones, a fixed fee for small ones."""
+    test = smoothed_flow_test(v.bars(spark, folder))
+    test.capital, test.costs = DAILY, []
+    test.add_broker(tr.fee_by_size())
+    shown = v.single(F.col("allocation") * DAILY).alias("capital")
+    return test.run().select("ticker", "date", shown, v.r("net_ratio"))
+
+
 def days_cost(ratio: Column, trade: dict[str, Column]) -> Column:
     """What the money costs for the days a trade is open."""
     return ratio - (tr.funding_factor(trade["days"]) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
-from tickloom.catalog.registry import query
+from tickloom.catalog.registry import ORACLES, query
 from tickloom.catalog.sql import past, r, rs, sql
 from tickloom.catalog.tables import BIN_SQL
 from tickloom.functions.numeric import ieee_div
@@ -14,7 +14,7 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import reports, series
 from tickloom.operators import trades as tr
 from tickloom.plans.steps import Step
-from tickloom.sources import store
+from tickloom.sources import store, yearly
 
 # ---- exits -----------------------------------------------------------------------------------
 
@@ -197,6 +197,15 @@ def year_profile(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("year")
 
 
+STORED_REVIEW = """
+    SELECT `year(Date)` AS year, sum(`total trade count`) AS opportunities, sum(`trade won`) AS success, sum(`trade loss`) AS fail,
+           CASE WHEN sum(`trade loss`) = 0 THEN CASE WHEN sum(`trade won`) = 0 THEN double('NaN') ELSE double('Infinity') END
+                ELSE sum(`trade won`) / sum(`trade loss`) END AS success_fail_ratio,
+           CASE WHEN sum(`total trade count`) = 0 THEN double('NaN')
+                ELSE sum(`average trade return` * `total trade count`) / sum(`total trade count`) END AS avg_return_rate
+    FROM {years} GROUP BY 1 ORDER BY 1
+"""
+
 PROFILE = """
     SELECT year, sum(trade_count) AS opportunities, sum(trades_won) AS won,
            max(avg_return) AS best_return, count(DISTINCT ticker) AS tickers
@@ -295,13 +304,28 @@ def ratio_bin_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.bin_counts(reports.with_win_loss(v.trade_year(spark, folder)))
 
 
+@query(
+    "consistent_bin_counts",
+    sql(
+        f"""
+        SELECT {BIN_SQL} AS category, count(*) AS tally FROM (SELECT *, {HISTORY.format(v.HISTORY)} AS h FROM ratios)
+        WHERE len(h) = {v.HISTORY} AND len(list_filter(h, lambda x: x <= 1)) = 0 GROUP BY 1
+        """,
+        "ratios",
+    ),
+)
+def consistent_bin_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How instruments with consistent years before did, by win/loss ratio."""
+    return reports.bin_counts(reports.consistent_history(v.trade_year(spark, folder), v.HISTORY))
+
+
 @query("good_years", sql(f"SELECT {YEAR_COLUMNS}, {rs('avg_return')} FROM good", "good"))
 def good_years(spark: SparkSession, folder: str) -> DataFrame:
     return years(reports.good_years(v.trade_year(spark, folder), v.LAST_YEAR))
 
 
 def occurrence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.occurrences(reports.good_years(v.trade_year(spark, folder), v.LAST_YEAR))
+    return reports.occurrences(reports.good_years(v.trade_year(spark, folder), v.LAST_YEAR, **v.FAIR))
 
 
 @query(
@@ -355,23 +379,60 @@ def prev_year_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+VERIFIED = f"""
+    SELECT a.*, b.trade_count AS prev_year_trade_count, b.win_loss_ratio AS prev_ratio
+    FROM ({JOINED}) a LEFT JOIN ({JOINED}) b ON a.ticker = b.ticker AND a.year = b.year + 1
+    WHERE b.win_loss_ratio > 1
+"""
+
+
 @query(
     "oos_verification",
     sql(
         f"""
-        SELECT {', '.join('a.' + c.strip() for c in YEAR_COLUMNS.split(','))}, {r('a.avg_return')} AS avg_return,
-               b.trade_count AS prev_year_trade_count, {r('b.win_loss_ratio')} AS prev_year_win_loss_ratio
-        FROM ({JOINED}) a LEFT JOIN ({JOINED}) b ON a.ticker = b.ticker AND a.year = b.year + 1
-        WHERE b.win_loss_ratio > 1
+        SELECT {YEAR_COLUMNS}, {rs('avg_return')}, prev_year_trade_count, {r('prev_ratio')} AS prev_year_win_loss_ratio
+        FROM ({VERIFIED})
         """,
         "ratios", "occurrences",
     ),
 )
 def oos_verification(spark: SparkSession, folder: str) -> DataFrame:
-    out = reports.oos_verification(v.trade_year(spark, folder), v.LAST_YEAR, v.ENOUGH)
+    out = reports.oos_verification(v.trade_year(spark, folder), v.LAST_YEAR, v.ENOUGH, **v.FAIR)
     return years(out, "prev_year_trade_count", v.r("prev_year_win_loss_ratio")).orderBy("ticker", "year")
 
 
+@query(
+    "verified_bin_counts",
+    sql(f"SELECT {BIN_SQL} AS category, count(*) AS tally FROM ({VERIFIED}) GROUP BY 1", "ratios", "occurrences"),
+)
+def verified_bin_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How the instruments picked on the reference years did afterwards, by win/loss ratio."""
+    return reports.bin_counts(reports.oos_verification(v.trade_year(spark, folder), v.LAST_YEAR, v.ENOUGH, **v.FAIR))
+
+
+# ---- stored yearly tables ------------------------------------------------------------------------
+
+
+def stored_years(spark: SparkSession, folder: str) -> str:
+    """The yearly trade tables written under the column names they are stored with."""
+    path = store.fresh(spark, "trade_years")
+    yearly.write_trade_years(v.trade_year(spark, folder), path)
+    return path
+
+
+@query("stored_trade_years", sql(f"SELECT {YEAR_COLUMNS}, {rs('avg_return')} FROM trade_year", "trade_year"))
+def stored_trade_years(spark: SparkSession, folder: str) -> DataFrame:
+    return years(yearly.read_trade_years(spark, stored_years(spark, folder)))
+
+
+@query("stored_year_review", ORACLES["year_profile"])
+def stored_year_review(spark: SparkSession, folder: str) -> DataFrame:
+    """The yearly review in SQL over the stored tables, under their own column names."""
+    stored = yearly.stored_frame(spark, stored_years(spark, folder))
+    out = store.sql_over(spark, STORED_REVIEW, years=stored)
+    return out.select("year", "opportunities", "success", "fail", v.r("success_fail_ratio"), v.r("avg_return_rate"))
+
+
 @query(
     "win_loss_summary",
     sql(

@@ -173,7 +173,13 @@ view(
     "good", "ratios",
     "SELECT * FROM ratios WHERE avg_return >= 1.05 AND win_loss_ratio > 2 AND year <= 1998",
 )
-view("occurrences", "good", "SELECT ticker, count(*) AS occurrence FROM good GROUP BY 1")
+view(
+    "occurrences", "ratios",
+    """
+    SELECT ticker, count(*) AS occurrence FROM ratios
+    WHERE avg_return >= 1.0 AND win_loss_ratio > 1.0 AND year <= 1998 GROUP BY 1
+    """,
+)
 view(
     "preds", "",
     """

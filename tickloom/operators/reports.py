@@ -102,6 +102,7 @@ def consistent_history(years: DataFrame, length: int = HISTORY_YEARS) -> DataFra
 
 
 def ratio_bin(ratio: Column) -> Column:
+    """The labels of the bins, and where these end."""
     return F.when(ratio < 1, "less than 1").when(ratio < 2, "less than 2").otherwise("more than 2")
 
 
@@ -111,10 +112,13 @@ def bin_counts(years: DataFrame) -> DataFrame:
     )
 
 
-def good_years(years: DataFrame, last_year: int = LAST_REFERENCE_YEAR) -> DataFrame:
+def good_years(
+    years: DataFrame, last_year: int = LAST_REFERENCE_YEAR, least_return: float = GOOD_RETURN, above_ratio: float = GOOD_RATIO
+) -> DataFrame:
+    """Instrument-years up to ``last_year`` with a good mean return and a good win/loss ratio."""
     return with_win_loss(years).where(
-        (F.col("avg_return") >= GOOD_RETURN)
-        & (F.col("win_loss_ratio") > GOOD_RATIO)
+        (F.col("avg_return") >= least_return)
+        & (F.col("win_loss_ratio") > above_ratio)
         & (F.col("year") <= last_year)
     )
 
@@ -153,10 +157,11 @@ def with_year_before(rows: DataFrame) -> DataFrame:
 
 
 def oos_verification(
-    years: DataFrame, last_year: int = LAST_REFERENCE_YEAR, at_least: int = ENOUGH_YEARS
+    years: DataFrame, last_year: int = LAST_REFERENCE_YEAR, at_least: int = ENOUGH_YEARS,
+    least_return: float = GOOD_RETURN, above_ratio: float = GOOD_RATIO,
 ) -> DataFrame:
     """Instruments picked on the reference years, checked on the years after them."""
-    picked = consistent_tickers(occurrences(good_years(years, last_year)), at_least)
+    picked = consistent_tickers(occurrences(good_years(years, last_year, least_return, above_ratio)), at_least)
     base = join_qualified(years, picked, last_year)
     return with_year_before(base).where(F.col("prev_year_win_loss_ratio") > 1)
 

@@ -116,6 +116,9 @@ def allocate(
     )
 
 
+_TRADE = ["ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason"]
+
+
 class Backtest:
     """Collects bars, indicators, strategies and costs; nothing runs until the end.
 
@@ -123,8 +126,9 @@ class Backtest:
     not its name alone) and its parameters. Asking for the same thing again gives the same uid and adds no work.
     """
 
-    def __init__(self, exit_rule: ExitRule = ExitRule()):
-        self.exit_rule = exit_rule
+    def __init__(self, exit_rule: ExitRule = ExitRule(), capital: float | None = None):
+        """``capital`` is what a strategy has to spend on each day; only costs that depend on a trade's size need it."""
+        self.exit_rule, self.capital = exit_rule, capital
         self.feeds: dict[str, DataFrame] = {}
         self.steps: dict[str, Step] = {}
         self.strategies: dict[str, tuple[str, str | None, Callable]] = {}
@@ -161,7 +165,8 @@ class Backtest:
         """``cost`` turns a trade's price ratio into the ratio after costs, on one feed or all.
 
         A function of two arguments also gets the trade: its columns by name (ticker, date,
-        entry_date, entry_price, exit_date, exit_price, exit_reason, strength, days held).
+        entry_date, entry_price, exit_date, exit_price, exit_reason, strength, days held, and capital: its
+        share of the day's capital, where the backtest has one).
         """
         self.costs.append((cost, feed))
 
@@ -175,12 +180,16 @@ class Backtest:
         return [*wanted.values(), first_hit_exit(self.exit_rule)]
 
     def signals(self, strategies: Sequence[str], feed: str = "bars") -> DataFrame:
-        """One row per signal and strategy with its outcome and net ratio; one pass over the bars."""
+        """One row per signal and strategy with its outcome and net ratio; one pass over the bars.
+
+        Shares of the capital are not known here, so costs that ask for the capital give null.
+        """
         if not strategies:
             raise ValueError("add a strategy first")
-        return self._signals(compute(self.feeds[feed], *self._steps(strategies)), strategies, feed)
+        return self._net(self._signals(compute(self.feeds[feed], *self._steps(strategies)), strategies), feed)
 
-    def _signals(self, out: DataFrame, strategies: Sequence[str], feed: str) -> DataFrame:
+    def _signals(self, out: DataFrame, strategies: Sequence[str]) -> DataFrame:
+        """One row per signal and strategy with its outcome, before costs."""
         given = [
             F.when(
                 F.col(pulse) == 1,
@@ -192,40 +201,48 @@ class Backtest:
             for uid, (pulse, strength, _) in ((uid, self.strategies[uid]) for uid in strategies)
         ]
         out = out.withColumn("_given", F.explode(F.filter(F.array(*given), lambda g: g.isNotNull())))
-        columns = ["ticker", "date", "entry_date", "entry_price", "exit_date", "exit_price", "exit_reason"]
-        out = out.select(*columns, "exit_gain_loss", "_given.strength", "_given.strategy")
-        trade = {c: F.col(c) for c in (*columns, "strength")}
+        return out.select(*_TRADE, "exit_gain_loss", "_given.strength", "_given.strategy")
+
+    def _net(self, trades: DataFrame, feed: str) -> DataFrame:
+        """Trades with the ratio after all costs of a feed."""
+        trade = {c: F.col(c) for c in (*_TRADE, "strength")}
         trade["days"] = F.datediff("exit_date", "entry_date")
+        own = F.col("allocation") if "allocation" in trades.columns else F.lit(None).cast("double")
+        trade["capital"] = own * F.lit(self.capital).cast("double")
         net = F.col("exit_gain_loss")
         for cost, only in self.costs:
             if only in (None, feed):
                 more = (trade,) if takes_trade(cost) else ()
                 net = cost(net, *more)
-        return out.withColumn("net_ratio", net)
+        return trades.withColumn("net_ratio", net)
 
     def trades(self, strategy: str, feed: str = "bars") -> DataFrame:
         """One row per signal with its outcome, net ratio and share of the day's capital."""
-        return allocate(self.signals([strategy], feed), self.strategies[strategy][2]).drop("strategy")
+        signals = self._signals(compute(self.feeds[feed], *self._steps([strategy])), [strategy])
+        return self._net(allocate(signals, self.strategies[strategy][2]), feed).drop("strategy")
 
     def run(self, feed: str = "bars") -> DataFrame:
         """The trades of all strategies, found in one pass over the bars."""
-        return self._shared(self.signals(list(self.strategies), feed))
+        if not self.strategies:
+            raise ValueError("add a strategy first")
+        uids = list(self.strategies)
+        return self._shared(self._signals(compute(self.feeds[feed], *self._steps(uids)), uids), feed)
 
     def stream(self, path: str, feed: str = "bars") -> StepStream:
         """The same strategies on a stream: its results are the signals with their outcomes, as these become known."""
         if not self.strategies:
             raise ValueError("add a strategy first")
         uids = list(self.strategies)
-        return StepStream(path, self._steps(uids), lambda rows: self._signals(rows, uids, feed))
+        return StepStream(path, self._steps(uids), lambda rows: self._signals(rows, uids))
 
     def run_stream(self, bars: DataFrame, path: str, checkpoint: str, feed: str = "bars") -> DataFrame:
         """Take in a stream of closed bars to its end and return the trades, as ``run`` does for stored bars."""
         stream = self.stream(path, feed)
         stream.run(bars, checkpoint, finish=True)
-        return self._shared(stream.results(bars.sparkSession))
+        return self._shared(stream.results(bars.sparkSession), feed)
 
-    def _shared(self, signals: DataFrame) -> DataFrame:
-        """Signals with their share of the day's capital."""
+    def _shared(self, signals: DataFrame, feed: str) -> DataFrame:
+        """Signals with their share of the day's capital, and the ratio after costs."""
 
         def share(strength: Column, total: Column, count: Column) -> Column:
             own = F.lit(None).cast("double")
@@ -233,7 +250,7 @@ class Backtest:
                 own = F.when(F.col("strategy") == uid, allocation(strength, total, count)).otherwise(own)
             return own
 
-        return allocate(signals, share, "strategy")
+        return self._net(allocate(signals, share, "strategy"), feed)
 
     def performance(self, trades: DataFrame) -> DataFrame:
         """Yearly figures of a run, after costs."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -17,6 +17,8 @@ from tickloom.plans.steps import Step
 # Commission as a share of the trade, and the yearly funding rate.
 COMMISSION = 0.002
 FUNDING_RATE = 0.05
+# Fee of a broker by the size of a trade, for buying and for selling.
+FEE_RATE, FEE_ABOVE, SMALLEST_FEE = 0.0005, 10_000.0, 5.0
 
 
 @dataclass(frozen=True)
@@ -174,6 +176,21 @@ def net_ratio(ratio: Column, commission: float = COMMISSION) -> Column:
     return ratio - F.lit(commission)
 
 
+def fee_by_size(
+    rate: float = FEE_RATE, above: float = FEE_ABOVE, smallest: float = SMALLEST_FEE
+) -> Callable[[Column, Mapping[str, Column]], Column]:
+    """A cost for ``Backtest.add_broker``: a share of trades over ``above``, a fixed fee for smaller ones, paid twice.
+
+    Needs the capital of the trade, so give the backtest a capital. A trade without capital has no net ratio.
+    """
+
+    def fee_of_trade(ratio: Column, trade: Mapping[str, Column]) -> Column:
+        capital = trade["capital"]
+        return ratio - 2 * F.when(capital > above, F.lit(rate)).otherwise(F.try_divide(F.lit(smallest), capital))
+
+    return fee_of_trade
+
+
 def funding_factor(days: Column, rate: float = FUNDING_RATE) -> Column:
     """Growth of borrowed money held overnight for a number of days."""
     return F.pow(F.lit(1 + rate / 365), days.cast("double"))
