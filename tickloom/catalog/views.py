@@ -72,7 +72,7 @@ def on_bars(spark: SparkSession, folder: str, *steps: Step) -> DataFrame:
 
 def single(value: Column) -> Column:
     """A computed value in single precision, as the comparison SQL gives it."""
-    return F.round(value, 8).cast("float").cast("double")
+    return F.round(value, 11).cast("float").cast("double")
 
 
 def r(name: str) -> Column:
