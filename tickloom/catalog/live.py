@@ -47,7 +47,7 @@ def tick_stream(spark: SparkSession, folder: str) -> DataFrame:
 def bar_stream(spark: SparkSession, folder: str, batches: int | None = None) -> DataFrame:
     """The bars replayed as a stream of closed bars, in several micro-batches, or in so many at most."""
     bars = v.bars(spark, folder)
-    path = store.scratch(spark, "replay", store.tag(folder))
+    path = store.scratch(spark, "replay", f"{store.tag(folder)}-{store.manifest(spark, folder)}")
     if path not in _REPLAYS:
         sb.write_in_time_order(bars, path)
         _REPLAYS.add(path)

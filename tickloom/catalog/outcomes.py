@@ -11,7 +11,7 @@ from tickloom.catalog.sql import past, r, rs, sql
 from tickloom.catalog.tables import BIN_SQL
 from tickloom.functions.numeric import ieee_div
 from tickloom.operators import indicators as ind
-from tickloom.operators import reports, series
+from tickloom.operators import reports, series, sketches
 from tickloom.operators import trades as tr
 from tickloom.plans.steps import Step
 from tickloom.sources import store, yearly
@@ -490,6 +490,42 @@ def tickers_per_year(spark: SparkSession, folder: str) -> DataFrame:
     return reports.tickers_per_year(v.bars(spark, folder))
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+@query(
+    "sketch_profile",
+    sql(
+        f"""
+        SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n_bars, count(DISTINCT ticker) AS tickers, true AS count_within,
+               {', '.join(f'true AS {q}_within' for q in QUARTILES)} FROM bars GROUP BY 1
+        """,
+        "bars",
+    ),
+)
+def sketch_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly counts and quartiles merged from monthly sketches, held against the bars: are they within the stated errors?"""
+    bars = v.bars(spark, folder).select("ticker", "date", "close")
+    stored = store.kept(sketches.monthly_sketches(bars), "sketches")
+    found = sketches.merged(stored, {"year": F.year("month")}, QUARTILES)
+    joined = bars.withColumn("year", F.year("date")).join(found, "year")
+    # how many values lie below a quantile, and how many up to it: its rank is between these shares
+    share = {
+        q: (F.avg((F.col("close") < F.col(q)).cast("double")), F.avg((F.col("close") <= F.col(q)).cast("double")))
+        for q in QUARTILES
+    }
+    checks = {
+        f"{q}_within": (low <= QUARTILES[q] + sketches.RANK_ERROR) & (high >= QUARTILES[q] - sketches.RANK_ERROR)
+        for q, (low, high) in share.items()
+    }
+    exact = F.count_distinct("ticker")
+    off = F.abs(F.first("instruments") - exact) <= sketches.COUNT_ERROR * exact
+    return joined.groupBy("year").agg(
+        F.first("n_bars").alias("n_bars"), exact.alias("tickers"), off.alias("count_within"),
+        *(check.alias(name) for name, check in checks.items()),
+    )
+
+
 @query("value_counts", sql('SELECT exit_reason, count(*) AS "count" FROM trades GROUP BY 1', "trades"))
 def value_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.value_counts(v.trades(spark, folder), "exit_reason")

@@ -40,14 +40,31 @@ def tag(source: str) -> str:
     return hashlib.sha256(source.encode()).hexdigest()[:24]
 
 
+def manifest(spark: SparkSession, source: str) -> str:
+    """A short name for the files below a folder: their paths, sizes and times. Only the listing is read."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        found.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return tag("\n".join(sorted(found)))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def layer(
     spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """Write ``build()`` once per application to the shared folder, then read it from there.
+    """Write ``build()`` to the shared folder once for each state of the input folder, then read it from there.
 
-    Cuts the lineage between layers, and survives the loss of executors.
+    Cuts the lineage between layers, and survives the loss of executors. When files of the input have
+    come, gone or changed, the layer is built anew beside the old one, which frames made before may still read.
     """
-    path = scratch(spark, "layers", f"{name}-{tag(source)}")
+    path = scratch(spark, "layers", f"{name}-{tag(source)}-{manifest(spark, source)}")
     key = (spark.sparkContext.applicationId, path)
     if key not in _WRITTEN:
         built = build()
@@ -56,6 +73,14 @@ def layer(
     return spark.read.schema(_WRITTEN[key]).parquet(path)
 
 
+def drop_layers(spark: SparkSession) -> None:
+    """Delete all layers of this application; frames that read them end with it."""
+    delete(spark, scratch(spark, "layers"))
+    application = spark.sparkContext.applicationId
+    for key in [k for k in _WRITTEN if k[0] == application]:
+        del _WRITTEN[key]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that is read several times to the shared folder, and read it from there."""
     path = fresh(df.sparkSession, name)
