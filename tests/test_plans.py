@@ -28,6 +28,12 @@ def test_all_features_need_one_exchange(bars):
     assert "Python" not in text and "Join" not in text
 
 
+def test_quantiles_share_the_exchange_and_build_no_lists(bars):
+    text = plan(compute(bars, ind.tmf_floor_medians_incl(), ind.percentile_gap("tmf_t", 260, "gap", (ind.tmf_truncated(),))))
+    assert exchanges(text) == 1 and len(re.findall(r"\bSort \[", text)) == 1
+    assert "collect_list" not in text and text.count("FlatMapGroupsInArrow") == 1
+
+
 def test_only_used_columns_are_read(bars):
     text = plan(compute(bars, ind.macd(), select=["ticker", "date", "macd"]))
     scanned = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import views as v
 from tickloom.catalog.registry import query
-from tickloom.catalog.sql import ewm, r, rs, sql, truncated
+from tickloom.catalog.sql import ewm, last_rows, r, rs, sql, truncated
 from tickloom.operators import indicators as ind
-from tickloom.operators import series
+from tickloom.operators import series, windows
 from tickloom.operators import trades as tr
 from tickloom.plans.layout import POSITION, index_bars
 from tickloom.plans.scan import SUM, dense_rank_by, running
-from tickloom.plans.steps import compute
+from tickloom.plans.steps import Quantile, compute
 from tickloom.sources.store import layer, table
 
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
@@ -135,6 +135,26 @@ def long_nonoverlap(spark: SparkSession, folder: str) -> DataFrame:
     return series.nonoverlapping(long_trades(spark, folder), longest=tr.ExitRule().hold + 2)
 
 
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+LONG_FRAME = 5000
+
+
+@query(
+    "long_quartiles",
+    long_sql(
+        "SELECT ticker, bar_index, "
+        + ", ".join(f"quantile_disc(close, {q}) {last_rows(LONG_FRAME)} AS {name}" for name, q in QUARTILES.items())
+        + " FROM idx",
+        "idx",
+    ),
+)
+def long_quartiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames longer than a block of the usual size."""
+    wanted = [Quantile(name, F.col("close"), LONG_FRAME, q, "lower") for name, q in QUARTILES.items()]
+    out = compute(long_bars(spark, folder), windows.rolling_quantiles("quartiles", *wanted))
+    return by_place(out, *QUARTILES)
+
+
 @query(
     "long_running",
     long_sql("SELECT ticker, bar_index, sum(volume) OVER (PARTITION BY ticker ORDER BY bar_index) AS running_volume FROM idx", "idx"),

@@ -15,7 +15,7 @@ from tickloom.operators import reports, series, windows
 from tickloom.operators import trades as tr
 from tickloom.plans.layout import index_bars, rows
 from tickloom.plans.scan import SUM, running
-from tickloom.plans.steps import Step
+from tickloom.plans.steps import Quantile, Step
 
 # ---- ranks, shifts, frames -----------------------------------------------------------------
 
@@ -109,19 +109,9 @@ def rolling_median_linear(spark: SparkSession, folder: str) -> DataFrame:
 
 def falls_median(count: int, kind: str) -> Step:
     """Median of the falling bars' changes among the last ``count`` bars."""
-    pick = {
-        "linear": windows.linear_median, "nearest": windows.nearest_median, "lower": windows.lower_median,
-    }[kind]
-    ordered, fall = f"_falls_{count}", F.when(F.col("chg") < 0, F.col("chg"))
-    return Step(
-        f"falls_median:{count}:{kind}",
-        lambda w: [
-            {ordered: windows.sorted_frame(fall, rows(w, count))},
-            {f"median_{count}": pick(F.col(ordered))},
-        ],
-        (ind.change_split(),),
-        back=count - 1,
-    )
+    fall = F.when(F.col("chg") < 0, F.col("chg"))
+    median = Quantile(f"median_{count}", fall, count, 0.5, kind)
+    return windows.rolling_quantiles(f"falls_median:{count}:{kind}", median, needs=(ind.change_split(),))
 
 
 NEAREST = f"list_sort(list(chg) FILTER (WHERE chg < 0) {last_rows(20)})"
@@ -143,6 +133,35 @@ def rolling_median_approx(spark: SparkSession, folder: str) -> DataFrame:
     return v.by_bar(v.on_bars(spark, folder, falls_median(521, "lower")), "median_521")
 
 
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
+@query(
+    "rolling_quartiles",
+    sql(
+        "SELECT ticker, date, "
+        + ", ".join(
+            f"{r(f'quantile_cont(close, {q}) {last_rows(n)}')} AS {name}_{n}, "
+            f"quantile_disc(close, {q}) {last_rows(n)} AS {name}_{n}_low"
+            for n in (20, 521) for name, q in QUARTILES.items()
+        )
+        + " FROM idx",
+        "idx",
+    ),
+)
+def rolling_quartiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Three quartiles of two frames, each interpolated and as a value of the frame, from one pass."""
+    wanted = [
+        Quantile(f"{name}_{n}{mark}", F.col("close"), n, q, kind)
+        for n in (20, 521) for name, q in QUARTILES.items() for mark, kind in (("", "linear"), ("_low", "lower"))
+    ]
+    out = v.on_bars(spark, folder, windows.rolling_quantiles("quartiles", *wanted))
+    names = [w.out for w in wanted]
+    return v.by_bar(
+        out, *[n for n in names if n.endswith("_low")], rounded=tuple(n for n in names if not n.endswith("_low"))
+    )
+
+
 @query(
     "yearly_capital",
     sql(f"SELECT ticker, date, {rs('yearly_cap_xchngd')} FROM caps", "caps"),

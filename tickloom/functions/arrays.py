@@ -34,3 +34,20 @@ def arg_max(values: Column) -> Column:
 def all_above(values: Column, bound: float) -> Column:
     """Whether no element is at or below ``bound``. NaN counts as above."""
     return F.forall(values, lambda x: ~(x <= bound))
+
+
+def list_quantile(ordered: Column, fraction: float, kind: str) -> Column:
+    """A quantile of a sorted list as ``order.SlidingOrder`` gives it, NULL for an empty list."""
+    n = F.size(ordered)
+    place = (n - 1) * F.lit(fraction)
+    if kind == "nearest":
+        low = F.floor(place + 0.5)
+    elif kind == "lower":
+        low = F.greatest(F.ceil(n * F.lit(fraction) - 1e-9) - 1, F.lit(0))
+    else:
+        low = F.floor(place)
+    below = F.get(ordered, low.cast("int"))
+    if kind == "linear":
+        part = place - low
+        below = F.when(part > 0, below + (F.get(ordered, (low + 1).cast("int")) - below) * part).otherwise(below)
+    return F.when(n > 0, below)

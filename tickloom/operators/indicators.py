@@ -11,13 +11,10 @@ from tickloom.functions.sliding import sliding, spread_samp, total
 from tickloom.operators.windows import (
     YEAR_FRAME,
     full_window,
-    linear_median,
-    lower_median,
-    nearest_median,
-    sorted_frame,
+    rolling_quantiles,
 )
 from tickloom.plans.layout import POSITION, rows
-from tickloom.plans.steps import Step
+from tickloom.plans.steps import Quantile, Step
 
 # Periods and window lengths in bars.
 FAST, SLOW, SIGNAL = 12, 26, 9
@@ -419,39 +416,26 @@ def _falls(column: str) -> Column:
     return F.when(F.col(column) < 0, F.col(column))
 
 
-def tmf_floor_medians() -> Step:
-    """Medians of the falls of both floors: interpolated, and the upper middle."""
+def _fall_medians(stem: str, frames: dict[str, int], other: str) -> tuple[Quantile, ...]:
+    """Interpolated median of the falls of each floor, and the median of kind ``other``."""
+    return tuple(
+        Quantile(f"{stem}_{f}_min_dd_qtl_50{mark}", _falls(f"{stem}_{f}_min_dd"), bars, 0.5, kind)
+        for f, bars in frames.items()
+        for mark, kind in (("", "linear"), ("_alt", other))
+    )
 
-    def pieces(w):
-        ordered = {
-            f"_{f}_falls": sorted_frame(_falls(f"tmf_{f}_min_dd"), rows(w, n))
-            for f, n in (("4w", MONTH_BARS), ("26w", HALF_YEAR_BARS))
-        }
-        medians = {}
-        for f in ("4w", "26w"):
-            medians[f"tmf_{f}_min_dd_qtl_50"] = linear_median(F.col(f"_{f}_falls"))
-            medians[f"tmf_{f}_min_dd_qtl_50_alt"] = nearest_median(F.col(f"_{f}_falls"))
-        return [ordered, medians]
 
-    return Step("tmf_floor_medians", pieces, tmf_floor(), back=HALF_YEAR_BARS - 1)
+def tmf_floor_medians() -> Step:
+    """Medians of the falls of both floors: interpolated, and the upper middle."""
+    medians = _fall_medians("tmf", {"4w": MONTH_BARS, "26w": HALF_YEAR_BARS}, "nearest")
+    return rolling_quantiles("tmf_floor_medians", *medians, needs=tmf_floor())
 
 
 def tmf_floor_medians_incl() -> Step:
     """Two-year medians of the falls, interpolated and lower middle, truncated smoothing."""
     frame = TWO_YEARS_BARS + 1
-
-    def pieces(w):
-        ordered = {
-            f"_t_{f}_falls": sorted_frame(_falls(f"tmf_t_{f}_min_dd"), rows(w, frame))
-            for f in ("4w", "26w")
-        }
-        medians = {}
-        for f in ("4w", "26w"):
-            medians[f"tmf_t_{f}_min_dd_qtl_50"] = linear_median(F.col(f"_t_{f}_falls"))
-            medians[f"tmf_t_{f}_min_dd_qtl_50_alt"] = lower_median(F.col(f"_t_{f}_falls"))
-        return [ordered, medians]
-
-    return Step("tmf_floor_medians_incl", pieces, tmf_floor_incl(), back=frame - 1)
+    medians = _fall_medians("tmf_t", {"4w": frame, "26w": frame}, "lower")
+    return rolling_quantiles("tmf_floor_medians_incl", *medians, needs=tmf_floor_incl())
 
 
 def _turn(dd: str, out: str, needs: tuple[Step, ...]) -> Step:
@@ -490,15 +474,13 @@ def dd_sign_count(bars: int = MONTH_BARS + 1) -> Step:
 
 def percentile_gap(column: str, bars: int, out: str, needs: tuple[Step, ...]) -> Step:
     """A value minus its own rolling median."""
-    ordered = f"_{out}_ordered"
+    median = Quantile(f"_{out}_median", F.col(column), bars)
     return Step(
         f"percentile_gap:{column}:{bars}:{out}",
-        lambda w: [
-            {ordered: sorted_frame(F.col(column), rows(w, bars))},
-            {out: F.col(column) - linear_median(F.col(ordered))},
-        ],
+        lambda w: [{out: F.col(column) - F.col(median.out)}],
         needs,
         back=bars - 1,
+        quantiles=(median,),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.arrays import first_place
 from tickloom.functions.numeric import ieee_div
 from tickloom.functions.sliding import counted
-from tickloom.operators.indicators import tmf_signal, tmf_signal_incl
+from tickloom.operators.indicators import tmf_floor_medians, tmf_signal, tmf_signal_incl
 from tickloom.plans.steps import Step
 
 # Commission as a share of the trade, and the yearly funding rate.
@@ -209,6 +209,6 @@ def signal_strength() -> Step:
                 )
             },
         ],
-        (tmf_signal(),),
+        (tmf_signal(), tmf_floor_medians()),
         back=1,
     )

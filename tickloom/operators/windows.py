@@ -7,9 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import idiv
 from tickloom.plans.layout import rows
-from tickloom.plans.steps import Step
+from tickloom.plans.steps import Quantile, Step
 
 YEAR_BARS = 5 * 52
 YEAR_FRAME = YEAR_BARS + 1
@@ -21,29 +20,6 @@ def full_window(value: Column, count: int, how, window: WindowSpec) -> Column:
     return F.when(F.count(value).over(frame) == count, how(value).over(frame))
 
 
-def linear_median(ordered: Column) -> Column:
-    """Median of a sorted list; the mean of the middle two when the size is even."""
-    n = F.size(ordered)
-    low = F.get(ordered, idiv(n - 1, 2).cast("int"))
-    high = F.get(ordered, idiv(n, 2).cast("int"))
-    return F.when(n > 0, low + (high - low) * 0.5)
-
-
-def nearest_median(ordered: Column) -> Column:
-    """Upper middle of a sorted list."""
-    return F.get(ordered, idiv(F.size(ordered), 2).cast("int"))
-
-
-def lower_median(ordered: Column) -> Column:
-    """Lower middle of a sorted list, as an approximate percentile picks it."""
-    n = F.size(ordered)
-    return F.when(n > 0, F.get(ordered, idiv(n - 1, 2).cast("int")))
-
-
-def sorted_frame(value: Column, frame: WindowSpec) -> Column:
-    return F.sort_array(F.collect_list(value).over(frame))
-
-
 def simple(name: str, column: str, build, back: int, ahead: int = 0, needs: tuple[Step, ...] = ()) -> Step:
     """A step of one column; ``build(window)`` gives the expression."""
     return Step(name, lambda w: [{column: build(w)}], needs, back, ahead)
@@ -60,6 +36,11 @@ def rolling_full(column: str, count: int, how, out: str, needs: tuple[Step, ...]
     )
 
 
+def rolling_quantiles(name: str, *quantiles: Quantile, needs: tuple[Step, ...] = ()) -> Step:
+    """Quantiles of sliding frames; frames of any length and all fractions share one pass."""
+    return Step(name, lambda w: [], needs, max(q.bars for q in quantiles) - 1, quantiles=quantiles)
+
+
 def lag_lead(column: str, by: int = 1) -> Step:
     return Step(
         f"lag_lead_{column}_{by}",

@@ -27,6 +27,7 @@ SPAN_DAYS = 1024
 
 POSITION = "bar_index"
 _BLOCK, _OFFSET, _CORE = "_block", "_offset", "_core"
+LAYOUT = (_BLOCK, _OFFSET, _CORE)
 
 
 def index_bars(
@@ -76,9 +77,14 @@ def spread(
     )
 
 
+def block_keys(key: str = "ticker") -> tuple[str, str]:
+    """What the rows of one block have in common."""
+    return key, _BLOCK
+
+
 def block_window(key: str = "ticker") -> WindowSpec:
     """The one window all rolling columns are built on."""
-    return Window.partitionBy(key, _BLOCK).orderBy(POSITION)
+    return Window.partitionBy(*block_keys(key)).orderBy(POSITION)
 
 
 def settle(spread_rows: DataFrame) -> DataFrame:

@@ -7,14 +7,33 @@ import json
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.plans.layout import BLOCK_ROWS, block_window, leading, settle, spread
+from tickloom.functions.arrays import list_quantile
+from tickloom.functions.order import SlidingOrder
+from tickloom.plans.layout import BLOCK_ROWS, LAYOUT, POSITION, block_keys, block_window, leading, rows, settle, spread
 
 Layers = Sequence[Mapping[str, Column]]
 
 #: Own bars a block should have at least.
 MIN_BLOCK = 256
+#: Frames up to this length are sorted as lists, row by row: less work than handing a block to Python.
+SHORT_FRAME = 130
+
+
+@dataclass(frozen=True, eq=False)
+class Quantile:
+    """Column ``out``: a quantile of ``value`` over the last ``bars`` bars; NULL takes no part, NaN is largest."""
+
+    out: str
+    value: Column
+    bars: int
+    fraction: float = 0.5
+    kind: str = "linear"
 
 
 @dataclass(frozen=True)
@@ -23,7 +42,7 @@ class Step:
 
     ``layers(window)`` gives groups of columns; a group may read the columns of the
     groups and steps before it. ``back`` and ``ahead`` say how many bars before and
-    after the current one the step reads. ``span`` bounds the rows from the first whose result is
+    after the current one the step reads. ``quantiles`` are found before the layers, which may read them. ``span`` bounds the rows from the first whose result is
     used, which may be a copy that a dependent step looks at, to the last copy after a block.
     """
 
@@ -33,6 +52,23 @@ class Step:
     back: int = 0
     ahead: int = 0
     span: int | None = None
+    quantiles: tuple[Quantile, ...] = field(default=(), compare=False)
+
+    def long_quantiles(self) -> list[Quantile]:
+        return [q for q in self.quantiles if q.bars > SHORT_FRAME]
+
+    def all_layers(self, window: WindowSpec) -> Iterator[dict[str, Column]]:
+        """The layers, those of short quantiles first."""
+        short = [q for q in self.quantiles if q.bars <= SHORT_FRAME]
+        if short:
+            frames = {(str(q.value), q.bars): q for q in short}
+            names = {key: f"_{self.name}_{i}" for i, key in enumerate(frames)}
+            yield {
+                names[key]: F.sort_array(F.collect_list(q.value).over(rows(window, q.bars)))
+                for key, q in frames.items()
+            }
+            yield {q.out: list_quantile(F.col(f"`{names[str(q.value), q.bars]}`"), q.fraction, q.kind) for q in short}
+        yield from (dict(layer) for layer in self.layers(window))
 
     def reach_back(self) -> int:
         return self.back + max((s.reach_back() for s in self.needs), default=0)
@@ -67,15 +103,76 @@ def leads_of(steps: Sequence[Step]) -> dict[str, int]:
     return leads
 
 
-def side_by_side(steps: Sequence[Step], window: WindowSpec) -> Iterator[dict[str, Column]]:
+def rounds(steps: Sequence[Step]) -> Iterator[tuple[list[Quantile], list[Step]]]:
+    """The steps in as few rounds as there are passes for quantiles, each with the quantiles it starts with."""
+    left, here = list(steps), {step.name for step in steps}
+    done: set[str] = set()
+    started = False
+    while left:
+        now: list[Step] = []
+        ready: set[str] = set()
+        for step in left:  # inputs come first
+            waits = {n.name for n in step.needs if n.name in here} - done
+            if waits <= ready and not (step.long_quantiles() and (waits or not started)):
+                now.append(step)
+                ready.add(step.name)
+        if now:
+            yield [q for step in now for q in step.long_quantiles()], now
+        left = [step for step in left if step.name not in ready]
+        done |= ready
+        started = True
+
+
+def with_quantiles(spread_rows: DataFrame, wanted: Sequence[Quantile]) -> DataFrame:
+    """Add sliding quantiles to rows in blocks, all of them in one pass over each block.
+
+    The blocks lie together already, so there is no further exchange; a group is one block with its copies.
+    Work columns of earlier steps, which no other step reads, are left behind.
+    """
+    groups: dict[str, list[Quantile]] = {}
+    sources: dict[str, Column] = {}
+    for q in wanted:
+        text = str(q.value)
+        groups.setdefault(text, []).append(q)
+        sources.setdefault(text, q.value.cast("double"))
+    names = {text: f"_value_{i}" for i, text in enumerate(groups)}
+    with_values = spread_rows.withColumns({names[text]: value for text, value in sources.items()})
+    plan = [(names[text], [(q.out, q.bars, q.fraction, q.kind) for q in qs]) for text, qs in groups.items()]
+    kept = [c for c in spread_rows.columns if c in LAYOUT or not c.startswith("_")]
+    schema = T.StructType(
+        [*spread_rows.select(*kept).schema.fields, *[T.StructField(out, T.DoubleType()) for _, qs in plan for out, *_ in qs]]
+    )
+
+    def of_block(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        place = table.column(POSITION).to_numpy()
+        if len(place) > 1 and not (place[1:] > place[:-1]).all():
+            table = table.take(pa.array(np.argsort(place, kind="stable")))
+        made = table.select(kept)
+        for name, qs in plan:
+            column = table.column(name)
+            absent = column.is_null().to_numpy().astype(bool)
+            values = column.fill_null(0.0).to_numpy()
+            found = SlidingOrder(values, absent).quantiles([tuple(q[1:]) for q in qs])
+            for (out, *_), (result, empty) in zip(qs, found, strict=True):
+                made = made.append_column(out, pa.array(result, pa.float64(), mask=empty))
+        return made
+
+    return with_values.select(*kept, *names.values()).groupBy(*block_keys()).applyInArrow(of_block, schema)
+
+
+def side_by_side(
+    steps: Sequence[Step], window: WindowSpec, leads: Mapping[str, int] | None = None
+) -> Iterator[dict[str, Column]]:
     """The layers of all steps, those that do not wait for each other put into one.
 
     Window columns of one layer are evaluated in a single pass over the rows.
     """
     waiting: dict[str, tuple[Step, list[dict[str, Column]]]] = {}
+    leads = leads_of(steps) if leads is None else leads
     for step in steps:
-        with leading(leads_of(steps)[step.name]):
-            waiting[step.name] = (step, [dict(layer) for layer in step.layers(window)])
+        with leading(leads[step.name]):
+            waiting[step.name] = (step, list(step.all_layers(window)))
     here = set(waiting)
     done: set[str] = set()
     while waiting:
@@ -116,8 +213,11 @@ def compute(
     block = min([block or max(BLOCK_ROWS, 2 * (back + ahead)), *spans])
     out = spread(indexed, back, ahead, block)
     window = block_window()
-    for layer in side_by_side(todo, window):
-        out = out.withColumns(layer)
+    for quantiles, now in rounds(todo):
+        if quantiles:
+            out = with_quantiles(out, quantiles)
+        for layer in side_by_side(now, window, leads):
+            out = out.withColumns(layer)
     out = settle(out)
     if select is not None:
         return out.select(*select)
