@@ -158,3 +158,31 @@ def test_views_are_whole(spark, folder, bars):
 def table_days(spark, folder):
     lines = store.table(spark, folder, "lineitem")
     return lines.select("l_suppkey", F.col("l_shipdate").cast("date")).distinct().count()
+
+
+@pytest.mark.parametrize(
+    ("kind", "params"),
+    [
+        ("decision_tree", {"max_depth": 0}), ("decision_tree", {"max_depth": 4}),
+        ("random_forest", {"max_depth": 3, "trees": 3}), ("gradient_boosting", {"max_depth": 2, "iterations": 3}),
+    ],
+)
+def test_trees_as_arrays_predict_the_same(spark, kind, params):
+    import numpy as np
+
+    rows = spark.range(200).selectExpr("cast(id % 17 as double) AS a", "cast(id * 7 % 23 as double) AS b", "a * b + a AS target")
+    model = models.fit(rows, kind, params, ["a", "b"])
+    got = np.array([tuple(r) for r in models.predict(model, rows).select("a", "b", "y_pred").collect()])
+    made = sum(t.weight * t.predict(got[:, :2]) for t in models.node_arrays(model))
+    assert made == pytest.approx(got[:, 2], rel=1e-12)
+
+
+def test_importance_of_an_unused_feature_is_zero(spark):
+    rows = spark.range(100).selectExpr(
+        "id AS ticker", "current_date() AS date", "cast(id as double) AS a", "1.0D AS b", "cast(id as double) AS target"
+    )
+    model = models.fit(rows, "decision_tree", {"max_depth": 2}, ["a", "b"])
+    out = models.permutation_importance(model, rows, ["a", "b"], repeats=3)
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in out.collect()}
+    assert got["b"] == (0.0, 0.0) and got["a"][0] > 0
+    assert models.permutation_importance(model, rows.limit(0), ["a", "b"], repeats=3).collect() == []

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (
+    DecisionTreeRegressor,
+    GBTRegressor,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +126,51 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEARCH_SCHEMA).parquet(path)
 
 
+@dataclass(frozen=True)
+class Nodes:
+    """One tree as arrays; a leaf points at itself, so rows may be sent down ``depth`` times together."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
+    weight: float
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x))
+        for _ in range(self.depth):
+            at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return self.value[at]
+
+
+def node_arrays(model: PipelineModel) -> list[Nodes]:
+    """The trees of a fitted regressor; their size is bounded by depth and number of trees."""
+    fitted = model.stages[1]
+    trees = list(getattr(fitted, "trees", [fitted]))
+    shares = [1 / len(trees)] * len(trees) if isinstance(fitted, RandomForestRegressionModel) else None
+    weights = shares or list(getattr(fitted, "treeWeights", [1.0]))
+    found = []
+    for tree, weight in zip(trees, weights, strict=True):
+        columns: list[list[float]] = []
+
+        def visit(node, columns=columns) -> int:
+            place = len(columns)
+            columns.append([0, 0.0, place, place, node.prediction()])
+            if node.subtreeDepth():
+                split = node.split()
+                columns[place][:2] = [split.featureIndex(), split.threshold()]
+                columns[place][2:4] = [visit(node.leftChild()), visit(node.rightChild())]
+            return place
+
+        visit(tree._java_obj.rootNode())
+        feature, threshold, left, right, value = (np.array(c) for c in zip(*columns, strict=True))
+        found.append(Nodes(feature, threshold, left, right, value, tree.depth, weight))
+    return found
+
+
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, features: Sequence[str] = FEATURES,
     repeats: int = REPEATS, seed: int = SEED,
@@ -126,7 +179,9 @@ def permutation_importance(
 
     Both orders of a repeat come from hashes, and rows are numbered bucket by bucket, so
     that a shuffle is an equi-join on the number. Each row then meets one donor row per
-    repeat, which lends it one feature at a time.
+    repeat, which lends it one feature at a time; the trees are evaluated on arrays, and squared errors are
+    summed before they leave the task. Only trees that split by a feature are evaluated again for
+    it, and a feature that no tree splits by loses nothing.
     """
     assembled = model.stages[0].transform(rows).select(
         "ticker", "date", "target", vector_to_array("features").alias("x")
@@ -140,28 +195,41 @@ def permutation_importance(
 
     takers = ordered("taker", "place")
     donors = ordered("donor", "place").select("place", "repeat", F.col("x").alias("lent"))
-    shuffled = takers.join(donors, ["place", "repeat"]).withColumn(
-        "feature", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))
-    )
-    mixed = shuffled.select(
-        "repeat", "feature", "target",
-        array_to_vector(
-            F.transform(
-                "x",
-                lambda v, i: F.when(i == F.col("feature"), F.get(F.col("lent"), i)).otherwise(v),
-            )
-        ).alias("features"),
-    )
-    tree = model.stages[1]
+    trees, width = node_arrays(model), len(features)
+    splits = [set(t.feature[t.left != np.arange(len(t.left))].tolist()) for t in trees]
 
-    def r2(df: DataFrame, *keys: str) -> DataFrame:
-        left = F.sum(F.pow(F.col("target") - F.col("y_pred"), F.lit(2)))
-        return df.groupBy(*keys).agg(
-            (1 - F.try_divide(left, F.var_pop("target") * F.count(F.lit(1)))).alias("r2")
-        )
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, lent = (
+                batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for n in ("x", "lent")
+            )
+            target, repeat = batch.column("target").to_numpy(), batch.column("repeat").to_numpy()
+            given = [t.weight * t.predict(x) for t in trees]
+            which, group = np.unique(repeat, return_inverse=True)
+            sums = np.empty((len(which), width))
+            for f in range(width):
+                changed = x.copy()
+                changed[:, f] = lent[:, f]
+                parts = [
+                    t.weight * t.predict(changed) if f in used else old
+                    for t, used, old in zip(trees, splits, given, strict=True)
+                ]
+                sums[:, f] = np.bincount(group, (target - sum(parts)) ** 2, len(which))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "repeat": np.repeat(which, width).astype("int32"),
+                    "feature": np.tile(np.arange(width, dtype="int32"), len(which)),
+                    "left": sums.ravel(),
+                }
+            )
 
-    base = r2(predict(model, rows)).scalar()
-    drops = r2(tree.transform(mixed), "repeat", "feature").withColumn("drop", base - F.col("r2"))
+    paired = takers.join(donors, ["place", "repeat"]).select("repeat", "target", "x", "lent")
+    lost = paired.mapInArrow(errors, "repeat int, feature int, left double").groupBy("repeat", "feature").agg(F.sum("left").alias("left"))
+    missed = F.sum(F.pow(F.col("target") - F.col("y_pred"), F.lit(2)))
+    spread, before = predict(model, rows).agg(F.var_pop("target") * F.count(F.lit(1)), missed).first()
+    unused = [f for f in range(width) if not any(f in used for used in splits)]
+    drop = F.try_divide(F.col("left") - F.lit(before), F.lit(spread))
+    drops = lost.withColumn("drop", F.when(F.col("feature").isin(unused), F.lit(0.0)).otherwise(drop))
     names = F.array(*[F.lit(f) for f in features])
     return drops.groupBy(F.get(names, F.col("feature")).alias("feature")).agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")
