@@ -112,6 +112,15 @@ def test_recursive_bands(bars):
     assert set(large["direction"]) == {1, -1}
 
 
+def test_recursive_bands_after_the_year_9999(spark):
+    """Dates that Python does not know go through the loop over bars as whole numbers."""
+    rows = [(1, 5_000_000 + day, 100.0 + day * 7 % 11) for day in range(60)]
+    out = whole.supertrend_recursive(compute(series(spark, rows), ind.atr()), 2, block=16, group=2)
+    assert out.schema["date"].dataType.typeName() == "date"
+    days = out.select(F.datediff("date", F.lit("2000-01-01").cast("date")).alias("day")).orderBy("day").collect()
+    assert [r.day for r in days] == [day for _, day, _ in rows]
+
+
 @pytest.mark.parametrize("every,longest", [(3, 13), (2, 6), (1000, 13)])
 def test_positions(bars, every, longest):
     """Against a plain loop, also with signals on almost every bar."""
