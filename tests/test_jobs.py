@@ -186,3 +186,12 @@ def test_importance_of_an_unused_feature_is_zero(spark):
     got = {r.feature: (r.importance_mean, r.importance_std) for r in out.collect()}
     assert got["b"] == (0.0, 0.0) and got["a"][0] > 0
     assert models.permutation_importance(model, rows.limit(0), ["a", "b"], repeats=3).collect() == []
+
+
+def test_donors_of_an_importance_are_not_broadcast(spark):
+    """Row sizes are judged before the repeats are made, so the repeated rows must not go through the driver."""
+    rows = spark.range(50).selectExpr("id AS ticker", "current_date() AS date", "cast(id as double) AS a", "cast(id as double) AS target")
+    model = models.fit(rows, "decision_tree", {"max_depth": 2}, ["a"])
+    plan = models.permutation_importance(model, rows, ["a"], repeats=3)._jdf.queryExecution().sparkPlan().toString()
+    pairs = [line for line in plan.splitlines() if "Join [place" in line]
+    assert pairs and all("SortMergeJoin" in line for line in pairs)
