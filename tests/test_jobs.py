@@ -195,3 +195,14 @@ def test_donors_of_an_importance_are_not_broadcast(spark):
     plan = models.permutation_importance(model, rows, ["a"], repeats=3)._jdf.queryExecution().sparkPlan().toString()
     pairs = [line for line in plan.splitlines() if "Join [place" in line]
     assert pairs and all("SortMergeJoin" in line for line in pairs)
+
+
+def test_the_last_day_is_selected_by_many_tasks(spark, folder, monkeypatch):
+    """The bars are read side by side, and only those of the last day come together for their file."""
+    from tickloom.catalog import tables
+
+    plans = []
+    write = store.write_csv
+    monkeypatch.setattr(store, "write_csv", lambda df, path: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df, path)))
+    assert tables.latest_csv(spark, folder).count() > 0
+    assert "Coalesce" not in plans[1] and "Exchange SinglePartition" in plans[1]
