@@ -104,6 +104,12 @@ def test_number_rows(bars):
     assert numbers == list(range(1, bars.count() + 1))
 
 
+def test_block_copies_are_placed_after_the_exchange(bars):
+    """The exchange carries no column that can be worked out from the bar's number."""
+    plan = compute(bars.select("ticker", "date", "bar_index", "close"), ind.macd())._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("_offset") < plan.index("REPARTITION_BY_COL") and "_offset" not in plan[plan.index("REPARTITION_BY_COL"):]
+
+
 def test_recursive_bands(bars):
     rows = compute(bars, ind.atr())
     large = frame(whole.supertrend_recursive(rows, 2))

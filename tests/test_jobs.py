@@ -206,3 +206,18 @@ def test_the_last_day_is_selected_by_many_tasks(spark, folder, monkeypatch):
     monkeypatch.setattr(store, "write_csv", lambda df, path: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df, path)))
     assert tables.latest_csv(spark, folder).count() > 0
     assert "Coalesce" not in plans[1] and "Exchange SinglePartition" in plans[1]
+
+
+@pytest.mark.parametrize("name", ["bars", "long_bars"])
+def test_lines_are_exchanged_once_for_numbered_bars(spark, folder, monkeypatch, name):
+    """Numbering brings no second exchange of whole bars: what is exchanged but the lines is a run's count."""
+    from tickloom.catalog import long
+
+    built = []
+    make = {"bars": views.bars, "long_bars": long.long_bars}[name]
+    for module in (views, long):
+        monkeypatch.setattr(module, "layer", lambda s, f, n, build: built.append(build()) or built[-1])
+    make(spark, folder)
+    plan = built[-1]._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(built) == 1 and sum("REPARTITION_BY_COL" in line for line in lines) == 2
