@@ -104,6 +104,30 @@ def test_number_rows(bars):
     assert numbers == list(range(1, bars.count() + 1))
 
 
+@pytest.mark.parametrize(
+    "steps", [lambda: [tr.first_hit_exit()], lambda: [ind.ema_truncated_fold("close", 12, "standard", "a")]]
+)
+def test_no_list_is_built_for_every_row(bars, steps):
+    assert "collect_list" not in compute(bars, *steps())._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_fold_is_null_where_a_value_is_missing(spark):
+    """The fold of a frame, from its oldest value on, and NULL until all its values are there."""
+    closes = [float(day * 7 % 11) for day in range(12)]
+    closes[7] = None
+    rows = series(spark, [(1, day, close) for day, close in enumerate(closes)])
+    out = compute(rows, ind.ema_truncated_fold("close", 3, "standard", "a", period_as_lookback=True)).orderBy("bar_index")
+    for place, row in enumerate(out.collect()):
+        values = closes[max(place - 3, 0) : place + 1]
+        if len(values) < 4 or None in values:
+            assert row.a is None
+            continue
+        want = values[0] * (1 / 0.5 - 1) / 0.5
+        for value in values:
+            want = want * 0.5 + value
+        assert row.a == pytest.approx(want * 0.5, rel=1e-14)
+
+
 def test_block_copies_are_placed_after_the_exchange(bars):
     """The exchange carries no column that can be worked out from the bar's number."""
     plan = compute(bars.select("ticker", "date", "bar_index", "close"), ind.macd())._jdf.queryExecution().sparkPlan().toString()
