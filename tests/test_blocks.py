@@ -1,5 +1,7 @@
 """Results must not depend on how series are cut into blocks."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,48 @@ def test_recursive_bands_after_the_year_9999(spark):
     assert [r.day for r in days] == [day for _, day, _ in rows]
 
 
+@pytest.mark.parametrize("seed,jump,group", [(1, 2, 2), (2, 9, 3), (3, 30, 2), (4, 0.3, 2), (5, 4, 100)])
+def test_recursive_bands_against_a_loop(spark, seed, jump, group):
+    """Blocks of a few bars, which bands and direction pass without a crossing, with one at their edges, or with many."""
+    draw = random.Random(seed)
+    rows = [(t, day, 100.0 + (close := (close if day else 0) + draw.choice([-1, 0, 1, draw.uniform(-jump, jump)])))
+            for t in range(8) for day in range(59 + t)]
+    # drifting for a while, so that a direction holds over many blocks
+    rows = [(t, day, close + 2 * day * (t % 3 - 1)) for t, day, close in rows]
+    bars = compute(series(spark, rows), ind.atr(), block=4, blocks=True)
+    got = frame(whole.supertrend_recursive(bars, 1, block=4, group=group))
+    pd.testing.assert_frame_equal(got, frame(whole.supertrend_recursive(bars.drop("_block"), 1, block=16, group=group)))
+    want = []
+    for _, one in frame(bars).groupby("ticker"):
+        up = low = before = None
+        for close, atr in zip(one["close"], one["atr"]):
+            new_up, new_low = close + atr, close - atr
+            way = 1 if before is None or close > up else -1 if close < low else way
+            up = new_up if before is None or new_up < up or before > up else up
+            low = new_low if before is None or new_low > low or before < low else low
+            before = close
+            want.append((up, low, way))
+    assert list(zip(got["upperband"], got["lowerband"], got["direction"])) == want
+
+
+def test_blocks_out_of_order_are_refused(spark):
+    rows = series(spark, [(1, day, 100.0 + day) for day in range(40)])
+    placed = compute(rows, ind.atr(), block=8, blocks=True)
+    with pytest.raises(Exception, match="does not hold its positions"):
+        whole.supertrend_recursive(placed, 2, block=16).collect()
+    with pytest.raises(ValueError, match="at most"):
+        compute(rows, ind.ewm("close", 13, "e"), block=100_000, blocks=True)
+
+
+def test_recursive_bands_exchange_the_bars_once(bars):
+    """Both passes over the bars read one exchange, and nothing is written between them."""
+    out = whole.supertrend_recursive(compute(bars, ind.atr(), block=64, blocks=True), 2, block=64)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and "ExistingRDD" not in final
+    assert final.count("REPARTITION_BY_COL") == 2  # in the place of its making and where it is used again
+
+
 @pytest.mark.parametrize("every,longest", [(3, 13), (2, 6), (1000, 13)])
 def test_positions(bars, every, longest):
     """Against a plain loop, also with signals on almost every bar."""

@@ -1,6 +1,7 @@
 """Layers follow their input; sketches stay within their stated errors."""
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,19 @@ def test_sketches_of_many_instruments_and_of_odd_values(spark):
     rows = sketches.merged(sketches.monthly_sketches(nothing), {"month": F.col("month")}, {"median": 0.5}).collect()
     assert len(rows) == 4 and all(r["median"] is None and r["instruments"] > 0 for r in rows)
     assert sketches.merged(sketches.monthly_sketches(many.where("false")), {"month": F.col("month")}, {}).count() == 0
+
+
+def test_a_layer_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in found.mkString("\n").split("\n") if "shuffle_" in name}
+
+    source = str(tmp_path / "in")
+    spark.range(1000).write.parquet(source)
+    before, setting = files(), spark.conf.get(store.FREE_SHUFFLES, None)
+    made = store.layer(spark, source, "freed", lambda: spark.read.parquet(source).repartition("id").withColumn("x", F.lit(1)))
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert made.count() == 1000 and spark.conf.get(store.FREE_SHUFFLES, None) == setting

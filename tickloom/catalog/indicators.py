@@ -12,7 +12,8 @@ from tickloom.catalog.registry import query
 from tickloom.catalog.sql import UP_TO_NOW, ewm, fixed, last_rows, r, rs, rsi, sql, truncated
 from tickloom.operators import indicators as ind
 from tickloom.operators import series
-from tickloom.plans.steps import Step
+from tickloom.plans.layout import BLOCK_ROWS
+from tickloom.plans.steps import Step, compute
 
 
 def indicator(
@@ -147,7 +148,7 @@ indicator(
     ),
 )
 def supertrend_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    out = series.supertrend_recursive(v.on_bars(spark, folder, ind.atr()), 2)
+    out = series.supertrend_recursive(compute(v.bars(spark, folder), ind.atr(), block=BLOCK_ROWS, blocks=True), 2)
     return v.by_bar(out, "direction", rounded=("upperband", "lowerband"))
 
 
