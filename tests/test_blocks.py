@@ -4,9 +4,11 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import series
+from tickloom.functions.sliding import least_of, sliding, spread_samp, total
 from tickloom.operators import indicators as ind
 from tickloom.operators import reports, windows
 from tickloom.operators import series as whole
@@ -177,6 +179,36 @@ def test_recursive_bands_against_a_loop(spark, seed, jump, group):
     assert list(zip(got["upperband"], got["lowerband"], got["direction"])) == want
 
 
+def test_rows_before_the_wanted_ones_are_left_behind(bars):
+    """With ``due``, wanted rows are as without it, for steps of any reach, over blocks, and fewer rows go through the later ones."""
+    due = F.when(F.col("ticker") % 2 == 0, 300).otherwise(431).cast("bigint")
+    steps = [ind.yearly_capital(), tr.lagged_wins(), ind.tmf_floor_medians_incl(), ind.adx(), ind.supertrend_bands()]
+    given = bars.withColumn("due_from", due)
+    wanted = F.col("bar_index") >= F.col("due_from")
+    want, part = frame(compute(given, *steps).where(wanted)), frame(compute(given, *steps, block=100, due="due_from"))
+    got = part[part["bar_index"] >= part["due_from"]].reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], rtol=1e-12, atol=1e-12)
+    assert len(part) < bars.count()
+
+
+def test_least_and_long_sums_of_any_length(spark):
+    """Against plain frames, with missing values, NaN, and series shorter than the frame."""
+    draw = random.Random(4)
+    value = lambda: draw.choice([None, float("nan"), *[draw.uniform(-9, 9) for _ in range(8)]])
+    rows = series(spark, [(t, day, value()) for t in (1, 2) for day in range(12 + 70 * t)]).withColumn("x", F.nanvl("close", F.lit(5.0)))
+    w = Window.partitionBy("ticker").orderBy("bar_index")
+    out = plain = rows
+    for count in (1, 2, 7, 8, 20, 61):
+        low, all_, sd = names = [f"{n}_{count}" for n in ("low", "all", "sd")]
+        tracks = {all_: total(F.col("x")), sd: spread_samp(F.col("x"))}
+        for layer in [*least_of("close", low, count, w), *sliding(tracks, count, w, "t")]:
+            out = out.withColumns(layer)
+        out = out.drop(*[c for c in out.columns if c.startswith("_")])
+        over = w.rowsBetween(1 - count, 0)
+        plain = plain.withColumns(dict(zip(names, (F.min("close").over(over), F.sum("x").over(over), F.stddev_samp("x").over(over)))))
+    pd.testing.assert_frame_equal(frame(out), frame(plain), rtol=1e-12, atol=1e-12)
+
+
 def test_blocks_out_of_order_are_refused(spark):
     rows = series(spark, [(1, day, 100.0 + day) for day in range(40)])
     placed = compute(rows, ind.atr(), block=8, blocks=True)

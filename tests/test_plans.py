@@ -28,6 +28,15 @@ def test_all_features_need_one_exchange(bars):
     assert "Python" not in text and "Join" not in text
 
 
+def test_features_need_few_passes_over_the_rows(bars):
+    """Also on a stream, where rows are left behind on the way."""
+    steps = features.feature_steps()
+    given = bars.withColumn("due_from", F.lit(300).cast("bigint"))
+    for df in (compute(bars, *steps), compute(given, *steps, due="due_from")):
+        text = plan(features.signal_features(df))
+        assert len(re.findall(r"\bWindow \[", text)) <= 13 and len(re.findall(r"\bSort \[", text)) == 1
+
+
 def test_quantiles_share_the_exchange_and_build_no_lists(bars):
     text = plan(compute(bars, ind.tmf_floor_medians_incl(), ind.percentile_gap("tmf_t", 260, "gap", (ind.tmf_truncated(),))))
     assert exchanges(text) == 1 and len(re.findall(r"\bSort \[", text)) == 1
