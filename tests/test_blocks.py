@@ -218,6 +218,15 @@ def test_blocks_out_of_order_are_refused(spark):
         compute(rows, ind.ewm("close", 13, "e"), block=100_000, blocks=True)
 
 
+def test_series_without_their_first_bars_go_on(spark):
+    """A bar without a date is numbered and left out, so a series may begin at its second bar."""
+    rows = series(spark, [(t, day, 100.0 + day * 7 % 11) for t in (1, 2) for day in range(40)])
+    placed = compute(rows.where("bar_index > ticker"), ind.atr(), block=8, blocks=True)
+    got, want = (frame(whole.supertrend_recursive(df, 2, block=8)) for df in (placed, placed.drop("_block")))
+    pd.testing.assert_frame_equal(got, want)
+    assert len(got) == 77
+
+
 def test_recursive_bands_exchange_the_bars_once(bars):
     """Both passes over the bars read one exchange, and nothing is written between them."""
     out = whole.supertrend_recursive(compute(bars, ind.atr(), block=64, blocks=True), 2, block=64)
